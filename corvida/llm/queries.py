@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, ngram_join, packing, substring_dedup, token_binary
+from corvida.llm import decontamination, exact_dedup, language_id, ngram_join, packing, substring_dedup, token_binary, toxicity
 from corvida.session import ready
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(_table(spark, sf_dir, "documents"))
 
@@ -30,21 +34,41 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_token_binary": op7_token_binary,
+    "op9_language_id": op9_language_id,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 SQL: dict[str, str] = {
+    "op3_decontamination": rf"""
+        WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+             w AS (SELECT kind, id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM t),
+             s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+             i AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1),
+             f AS (SELECT d.id AS doc_id, i.id AS item_id, i.n_item, count(*) AS n_shared FROM s d JOIN i ON d.kind = 0 AND d.s = i.s GROUP BY ALL)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM f WHERE n_shared >= 0.75 * n_item""",
     "op5_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
