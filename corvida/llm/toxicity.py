@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its lower-case words and the first four bytes of each word, hashed into
-a fixed number of buckets; a term counts once a text. The score is the logistic function of
+Terms of a text are its lower-case words and their stems (the first four, five and six bytes
+of each), hashed into a fixed number of buckets; a term counts once a text. The score is the logistic function of
 
     w0 + sum of w_i over its terms + sum of <v_i, v_j> over pairs of its terms,
 
@@ -11,7 +11,7 @@ the number of terms.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
 their doc_id, and at most ``TERMS`` terms, those that tell the labels apart best in that
-sample; both bounds are parameters. Every document is then scored whole, in one pass over
+sample and beyond chance (``LEAST_Z2``); the bounds are parameters. Every document is then scored whole, in one pass over
 the table without a shuffle.
 
 Cases: null and empty texts have no terms and get the score of a text without any known
@@ -39,7 +39,9 @@ TERMS = 4_096
 BUCKETS = 1 << 20
 FACTORS = 8
 THRESHOLD = 0.7
-_STEM_BYTES = 4
+#: The least square of a term's z statistic: some chance terms in a million pass it.
+LEAST_Z2 = 22.0
+_STEM_BYTES = (4, 5, 6)
 _EPOCHS, _RATE, _DECAY = 80, 0.05, 1e-4
 
 
@@ -52,9 +54,9 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """The buckets of all terms, and the row of each."""
     start, end, first = words.spans(data, offsets)
     whole = words.hashed(data, start, end, lower=True)
-    stem = words.mix(words.hashed(data, start, np.minimum(end, start + _STEM_BYTES), lower=True) + np.uint64(1))
+    stems = [words.hashed(data, start, np.minimum(end, start + n), lower=True) + np.uint64(n) for n in _STEM_BYTES]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return np.concatenate([whole, stem]) % np.uint64(BUCKETS), np.concatenate([row, row])
+    return np.concatenate([whole, *map(words.mix, stems)]) % np.uint64(BUCKETS), np.tile(row, 1 + len(stems))
 
 
 @dataclass
@@ -151,10 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
         share = n1 / max(1, n0 + n1)
         return Model(place, float(np.clip(np.log((share + 1e-12) / (1 - share + 1e-12)), -30, 30)), np.zeros(1), np.zeros((1, FACTORS)))
     by_bucket = seen.mapInPandas(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    # a two-sided test of shares: the squared difference over its variance
+    # the square of z in a test that both labels have the term equally often
     both = (F.col("c") + F.col("t")) / (n0 + n1)
     gap = F.col("t") / n1 - F.col("c") / n0
-    best = by_bucket.where("c + t >= 3").select("bucket", (gap * gap / (both * (1 - both) + 1e-9)).alias("power")).orderBy(F.desc("power"), "bucket").limit(terms).collect()
+    best = by_bucket.where("c + t >= 3").select("bucket", (gap * gap / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)).alias("z2")).where(F.col("z2") >= LEAST_Z2).orderBy(F.desc("z2"), "bucket").limit(terms).collect()
     place[[r["bucket"] for r in best]] = np.arange(len(best))
     known_terms = len(best)
 
