@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import decontamination, exact_dedup, language_id, ngram_join, packing, substring_dedup, token_binary, toxicity
+from corvida.llm import decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, substring_dedup, token_binary, toxicity
 from corvida.session import ready
 
 
@@ -42,6 +42,10 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_token_binary": op7_token_binary,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
 }
 
