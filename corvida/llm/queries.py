@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, substring_dedup, token_binary, toxicity
+from corvida.llm import decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, sharding, substring_dedup, token_binary, toxicity
 from corvida.session import ready
 
 
@@ -50,6 +50,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_binary": op7_token_binary,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
+    "op10_sharding": op10_sharding,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
