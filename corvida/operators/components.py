@@ -23,6 +23,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("a <> b").distinct()
 
 
+def roots(parents: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """(node, component) of a forest in which every node but the roots has one parent smaller
+    than itself: each round takes the parent's parent, so paths halve. Roots are in the result."""
+    now = stored(parents.select(F.col(node).alias("node"), F.col(parent).alias("parent")), "parents")
+    while True:
+        above = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        after = stored(now.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "parents")
+        if not after.where("moved").limit(1).count():
+            break
+        now = after.drop("moved")
+    return after.select("node", F.col("parent").alias("component")).union(after.select("parent", "parent").distinct())
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
@@ -31,6 +44,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     """
     now = edges.select(F.greatest(left, right).cast("long").alias("a"), F.least(left, right).cast("long").alias("b"))
     now = stored(now.where("a <> b").distinct(), "edges")
+    if not now.limit(1).count():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
         after = stored(_star(_star(now, True), False), "edges")
