@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm import words
-from corvida.operators.components import connected_components
+from corvida.operators.components import connected_components, roots
 from corvida.session import ready, stored
 
 SHINGLE = 5
@@ -273,13 +273,19 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     ids = pairs.select("a").union(pairs.select("b")).union(long_rows.select("doc")).distinct().withColumnRenamed("a", "doc_id")
     sets = stored(_whole_sets(docs, ids), "sets")
-    # first one partner for each document, the smallest; then only what is still apart
+    # first one partner for each document, the smallest; those links are a forest
     tied = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(_verified(tied, sets), "links")
-    components = connected_components(links)
-    rest = _apart(pairs.join(tied, ["a", "b"], "left_anti"), components).union(_apart(_across(long_rows, components), components)).distinct()
-    links = links.union(stored(_verified(rest, sets), "links"))
-    components = connected_components(links)
+    trees = stored(roots(_verified(tied, sets), "b", "a"), "trees")
+    # then only what is still apart, as links between trees
+    rest = _apart(pairs.join(tied, ["a", "b"], "left_anti"), trees).union(_apart(_across(long_rows, trees), trees)).distinct()
+    links = _verified(rest, sets)
+    for end in ("a", "b"):
+        of = trees.select(F.col("node").alias(end), F.col("component").alias(f"t{end}"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce(f"t{end}", end))
+    joined = connected_components(links)
+    trees = trees.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+    # a document that no tie reached may still have come in by a later link
+    components = trees.select("node", F.coalesce("c", "component").alias("component")).unionByName(joined.join(trees, "node", "left_anti"))
 
     named = classes.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     named = stored(named, "named")
