@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.plans import oracle_reports, tables
+from corvida.plans import oracle_reports, tables, texts
 from corvida.plans.reports import REPORTS, Reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,5 @@ def _report(build: Callable[[Reports], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(Reports(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {name: _report(build) for name, build in (REPORTS | tables.QUERIES).items()}
-SQL: dict[str, str] = {**oracle_reports.SQL, **tables.SQL}
+QUERIES: dict[str, Query] = {name: _report(build) for name, build in (REPORTS | tables.QUERIES).items()} | texts.QUERIES
+SQL: dict[str, str] = {**oracle_reports.SQL, **tables.SQL, **texts.SQL}

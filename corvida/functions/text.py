@@ -27,7 +27,11 @@ def ngrams(tok: Column, size: int) -> Column:
 
 def gapped(gram: Column, size: int) -> Column:
     """The variants of an n-gram with one inner word left open."""
-    return F.array(*(F.transform(gram, lambda w, i, k=k: F.when(i == k, GAP).otherwise(w)) for k in range(1, size - 1)))
+
+    def open_at(k: int) -> Column:
+        return F.transform(gram, lambda w, i: F.when(i == k, GAP).otherwise(w))
+
+    return F.array(*map(open_at, range(1, size - 1)))
 
 
 def shorten_repeats(text: Column, most: int = 4, unit: str = r"\S+?") -> Column:

@@ -39,12 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm import words
+from corvida.llm.common import commonest
 from corvida.llm.tokens import vocabulary
 from corvida.session import ready, stored
 
 ROUNDS = 2
 #: Words that are broadcast, at 24 bytes each.
-COMMON = 1 << 19
+COMMON = 1 << 18
 #: The share of all piece counts that the starting distribution keeps.
 PRIOR = 0.001
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -243,7 +244,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, common: int = COMMON, pat
             yield pd.DataFrame({"hash": pdf["hash"], "c": pdf["c"], "seen": pdf["seen"], "lp": (np.logaddexp(whole, out + rest) + math.log1p(-p_end)) / _LN10})
 
     priced = stored(counts.mapInPandas(spell, "hash long, c long, seen long, lp double"), "word-scores")
-    top = priced.orderBy(F.desc("seen"), "hash").limit(common).select("hash", "c", "lp").toPandas().sort_values("hash", key=lambda x: x.to_numpy().view(np.uint64))
+    top = commonest(priced, "seen", common).select("hash", "c", "lp").toPandas().sort_values("hash", key=lambda x: x.to_numpy().view(np.uint64))
     table = spark.sparkContext.broadcast((top["hash"].to_numpy().view(np.uint64).copy(), np.log10((top["c"].to_numpy() + 1) / below), top["lp"].to_numpy(), top["c"].to_numpy() > 0))
     end_base, end_lp = math.log10(((ends if ends else 0) + 1) / below), math.log10(p_end)
 

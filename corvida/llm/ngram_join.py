@@ -11,8 +11,10 @@ Estimates come from all documents: each task counts its shingles and passes on t
 seen several times. The table of frequent shingles has a fixed size; it orders prefixes and
 never drops a shingle.
 
-Equal sets are one class and only its smallest doc_id is joined. Postings of up to 64
-documents give their pairs. Longer ones tie each document to one of theirs first; pairs are
+Equal sets have equal signatures (64-bit sums of their hashes); postings name signatures, so
+copies meet as one and no text is shuffled to leave them out. A pair
+counts only if, at its first shared shingle, enough of both sets is left to reach the overlap
+it needs. Postings of up to 32 documents give their pairs. Longer ones tie each document to one of theirs first; pairs are
 made only for documents that those ties leave in different components. So a group of near
 copies costs its size, not its square, and no link between components is lost. Every
 candidate is verified on the whole sets.
@@ -33,16 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm import words
+from corvida.llm.common import commonest
 from corvida.operators.components import connected_components, roots
 from corvida.session import ready, stored
 
 SHINGLE = 5
 #: The similarity, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 3, 4
-FREQUENT = 50_000
-PAIRS_UP_TO = 64
+FREQUENT = 200_000
+PAIRS_UP_TO = 32
 MOST_SHARED = 8
+#: Candidates up to which their ids (16 bytes each) are broadcast to pick out their texts.
+BROADCAST_IDS = 2_000_000
 _SEEN, _COUNTED = 3, 3_000_000
+#: Other documents taken to have a shingle that isn't in the table.
+_RARE = 0.1
 _FLUSH = 1_500_000
 
 
@@ -53,6 +60,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield rows, list(words.gram_sets(words.hashed(data, start, end, lower=True), first, SHINGLE))
 
 
+def _signed(sets: list[np.ndarray]) -> np.ndarray:
+    """The signature of each set: the sum of its hashes."""
+    return np.array([int(s.sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     """kind 0: a row for each document (id, n, two hashes of the whole set); kind 1: shingles that
     a task has seen at least three times (id, n = times)."""
@@ -73,9 +85,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
         parts, held = [], 0
         for rows, sets in _sets(batches):
             n = np.array([len(s) for s in sets], np.int64)
-            s1 = np.array([int(s.sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64)
+            s1 = _signed(sets)
             s2 = np.array([int(words.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64)
-            yield rows_of(0, rows.column(0).to_numpy(), n, s1.view(np.int64), s2.view(np.int64))
+            yield rows_of(0, rows.column(0).to_numpy(), n, s1, s2.view(np.int64))
             parts += sets
             held += int(n.sum())
             if held >= _COUNTED:
@@ -92,9 +104,9 @@ def chosen_prefix(n: int, est: np.ndarray) -> tuple[int, int]:
     frequencies, in the global order, are ``est``."""
     needed = -(-NUMERATOR * n // DENOMINATOR)
     most = min(MOST_SHARED, needed)
-    reach = np.cumsum(est[: n - needed + most])[n - needed :]  # postings read with l = 1, 2, ...
+    reach = np.cumsum(est[: n - needed + most])[n - needed :]  # others met with l = 1, 2, ...
     shared = np.arange(1, most + 1)
-    best = int(np.argmin(reach + reach / shared * (n / 8)))
+    best = int(np.argmin(shared + reach + reach / shared * (n / 8)))
     return n - needed + best + 1, best + 1
 
 
@@ -110,19 +122,18 @@ class _Order:
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The set in the global order and the estimated frequencies."""
         if not len(self.hashes):
-            return s, np.ones(len(s))
+            return s, np.full(len(s), _RARE)
         at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
         known = self.hashes[at] == s
         last = at[known]
         last = last[np.argsort(self.rank[last])]
-        return np.concatenate([s[~known], self.hashes[last]]), np.concatenate([np.ones(len(s) - len(last)), self.counts[last]])
+        return np.concatenate([s[~known], self.hashes[last]]), np.concatenate([np.full(len(s) - len(last), _RARE), self.counts[last]])
 
 
-def _postings(reps: DataFrame, frequent: list, bins: int) -> DataFrame:
-    """The prefix shingles of (doc_id, text), packed into a block for each bin and task."""
-    hashes = np.array([r["id"] for r in frequent], np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in frequent], np.float64)
-    schema = pa.schema([("bin", pa.int32()), ("token", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("asks", pa.binary())])
+def _postings(docs: DataFrame, frequent: pd.DataFrame, bins: int) -> DataFrame:
+    """The prefix shingles of all distinct sets, packed into a block for each bin and task."""
+    hashes, counts = frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.float64)
+    schema = pa.schema([("bin", pa.int32()), ("token", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("asks", pa.binary()), ("rest", pa.binary())])
 
     def flushed(parts: list[tuple]) -> pa.RecordBatch:
         size = np.array([len(p[0]) for p in parts])
@@ -130,33 +141,42 @@ def _postings(reps: DataFrame, frequent: list, bins: int) -> DataFrame:
         bin_of = (words.mix(token) % np.uint64(bins)).astype(np.int32)
         order = np.argsort(bin_of, kind="stable")
         doc, n, asks = (np.repeat(np.array([p[k] for p in parts], t), size)[order] for k, t in ((1, np.int64), (2, np.int32), (3, np.uint8)))
+        rest = np.concatenate([p[2] - 1 - np.arange(len(p[0]), dtype=np.int32) for p in parts]).astype(np.int32)[order]
         token, cuts = token[order], np.searchsorted(bin_of[order], np.arange(bins + 1))
-        out = [(b, *(x[cuts[b] : cuts[b + 1]].tobytes() for x in (token, doc, n, asks))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        out = [(b, *(x[cuts[b] : cuts[b + 1]].tobytes() for x in (token, doc, n, asks, rest))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, parts, held = _Order(hashes, counts), [], 0
-        for rows, sets in _sets(batches):
-            for doc_id, s in zip(rows.column(0).to_pylist(), sets, strict=True):
-                if not len(s):
+        order, parts, held, done = _Order(hashes, counts), [], 0, set()
+        for _, sets in _sets(batches):
+            for signature, s in zip(_signed(sets).tolist(), sets, strict=True):
+                if not len(s) or signature in done:
                     continue
+                done.add(signature)
                 ordered, est = order.sort(s)
                 length, asks = chosen_prefix(len(s), est)
-                parts.append((ordered[:length], doc_id, len(s), asks))
+                parts.append((ordered[:length], signature, len(s), asks))
                 held += length
             if held >= _FLUSH:
                 yield flushed(parts)
-                parts, held = [], 0
+                parts, held, done = [], 0, set()
         if held:
             yield flushed(parts)
 
-    return reps.mapInArrow(run, "bin int, token binary, doc binary, n binary, asks binary")
+    return docs.mapInArrow(run, "bin int, token binary, doc binary, n binary, asks binary, rest binary")
 
 
-def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.ndarray) -> tuple[list, list]:
-    """Pairs (a, b, shared, asked) of the short postings and ties of the long ones, and the long postings' (token, doc, n)."""
+def _reaches(n_x, n_y, rest_x, rest_y) -> np.ndarray:
+    """Whether sets whose first shared shingle has so many after it can overlap enough."""
+    return (NUMERATOR + DENOMINATOR) * (1 + np.minimum(rest_x, rest_y).astype(np.int64)) >= NUMERATOR * (n_x.astype(np.int64) + n_y)
+
+
+def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.ndarray, rest: np.ndarray) -> tuple[list, list]:
+    """Pairs (a, b, shared, asked, reaches) of the short postings and ties of the long ones, and
+    the long postings' (token, doc, n, rest)."""
     order = np.lexsort((doc, token))
-    token, doc, n, asks = token[order], doc[order], n[order], asks[order]
+    order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
+    token, doc, n, asks, rest = (x[order] for x in (token, doc, n, asks, rest))
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
     size = np.diff(np.append(begin, len(token)))
     first, second, ties, long_rows = [], [], [], []
@@ -167,49 +187,56 @@ def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.nd
         for c in range(0, len(at), step):
             x, y = (at[c : c + step, None] + i).ravel(), (at[c : c + step, None] + j).ravel()
             small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
-            fits = (DENOMINATOR * small >= NUMERATOR * large) & (doc[x] != doc[y])
+            fits = DENOMINATOR * small >= NUMERATOR * large
             first.append(x[fits])
             second.append(y[fits])
     for a, k in zip(begin[size > PAIRS_UP_TO].tolist(), size[size > PAIRS_UP_TO].tolist(), strict=True):
-        ties.append(np.stack([np.full(k - 1, doc[a]), doc[a + 1 : a + k]]))
-        long_rows.append((token[a : a + k].view(np.int64), doc[a : a + k], n[a : a + k]))
+        # a first shared shingle lies in the prefix for l = 1
+        i = a + np.flatnonzero(DENOMINATOR * (1 + rest[a : a + k].astype(np.int64)) >= NUMERATOR * n[a : a + k].astype(np.int64))
+        if len(i) > 1:
+            ties.append(np.stack([np.full(len(i) - 1, doc[i[0]]), doc[i[1:]]]))
+            long_rows.append((token[i].view(np.int64), doc[i], n[i].astype(np.int64), rest[i].astype(np.int64)))
     out = []
     if first:
         x, y = np.concatenate(first), np.concatenate(second)
-        a, b, asked = doc[x], doc[y], np.minimum(asks[x], asks[y])
+        a, b, asked, reaches = doc[x], doc[y], np.minimum(asks[x], asks[y]), _reaches(n[x], n[y], rest[x], rest[y])
         order = np.lexsort((b, a))
-        a, b, asked = a[order], b[order], asked[order]
-        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
-        out.append((a[at], b[at], np.diff(np.append(at, len(a))), asked[at].astype(np.int64)))
+        a, b, asked, reaches = a[order], b[order], asked[order], reaches[order]
+        if len(a):
+            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            out.append((a[at], b[at], np.diff(np.append(at, len(a))), asked[at].astype(np.int64), np.maximum.reduceat(reaches, at).astype(np.int64)))
     if ties:
         t = np.concatenate(ties, axis=1)
-        t = np.unique(t[:, t[0] != t[1]], axis=1)
-        out.append((t[0], t[1], np.full(t.shape[1], MOST_SHARED), np.ones(t.shape[1], np.int64)))
+        t = np.unique(t, axis=1)
+        one = np.ones(t.shape[1], np.int64)
+        out.append((t[0], t[1], one * MOST_SHARED, one, one))
     return out, long_rows
 
 
 def _candidates(blocks: DataFrame) -> DataFrame:
-    """kind 0: pairs (x, y, shared, asked); kind 1: long postings (x = token, y = doc, shared = n)."""
+    """kind 0: pairs (x, y, p = shared, q = asked, r = reaches); kind 1: long postings (x = token, y = doc, p = n, q = rest)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint64), ("doc", np.int64), ("n", np.int32), ("asks", np.uint8))]
+        columns = [np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint64), ("doc", np.int64), ("n", np.int32), ("asks", np.uint8), ("rest", np.int32))]
         pairs, long_rows = _pairs_within(*columns)
-        frames = [pd.DataFrame({"kind": 0, "x": a, "y": b, "shared": s, "asked": m}) for a, b, s, m in pairs]
-        frames += [pd.DataFrame({"kind": 1, "x": t, "y": d, "shared": k.astype(np.int64), "asked": 0}) for t, d, k in long_rows]
-        return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "x": [], "y": [], "shared": [], "asked": []}).astype(np.int64)
+        frames = [pd.DataFrame({"kind": 0, "x": a, "y": b, "p": p, "q": q, "r": r}) for a, b, p, q, r in pairs]
+        frames += [pd.DataFrame({"kind": 1, "x": t, "y": d, "p": p, "q": q, "r": 0}) for t, d, p, q in long_rows]
+        return pd.concat(frames) if frames else pd.DataFrame({c: [] for c in ("kind", "x", "y", "p", "q", "r")}).astype(np.int64)
 
-    return blocks.groupBy("bin").applyInPandas(run, "kind int, x long, y long, shared long, asked long")
+    return blocks.groupBy("bin").applyInPandas(run, "kind int, x long, y long, p long, q long, r long")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and shingles (packed) of the documents with these ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+    """signature and shingles (packed) of the documents with these ids."""
+    schema = pa.schema([("signature", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # then the texts aren't shuffled
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "signature long, shingles binary").dropDuplicates(["signature"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,8 +253,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * both >= NUMERATOR * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    with_b = pairs.join(sets.select(F.col("signature").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_b.join(sets.select(F.col("signature").alias("a"), F.col("shingles").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -249,10 +276,11 @@ def _across(long_rows: DataFrame, components: DataFrame) -> DataFrame:
     # sizes that can link lie in the same or the next size class
     step = F.log(F.lit(DENOMINATOR / NUMERATOR))
     rows = rows.withColumn("cls", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    other = rows.select("token", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"))
+    other = rows.select("token", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("rest").alias("r2"), F.col("component").alias("c2"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"))
     met = rows.join(other, ["token", "cls"]).where((F.col("doc") < F.col("d2")) & (F.col("component") != F.col("c2")))
     fits = F.least("n", "n2") * DENOMINATOR >= F.greatest("n", "n2") * NUMERATOR
-    return met.where(fits).select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
+    reaches = (NUMERATOR + DENOMINATOR) * (1 + F.least("rest", "r2")) >= NUMERATOR * (F.col("n") + F.col("n2"))
+    return met.where(fits & reaches).select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
 
 
 def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -262,16 +290,18 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     bins = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = stored(_signatures(docs), "signatures", "kind")
     of_docs = seen.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2")
-    classes = stored(of_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    frequent = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
-
-    alone = docs.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    found = stored(_candidates(_postings(alone, frequent, bins)), "candidates", "kind")
-    pairs = found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("shared").alias("shared"), F.min("asked").alias("asked"))
-    pairs = stored(pairs.where("shared >= asked").select("a", "b"), "pairs")
-    long_rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("shared").alias("n"))
-
-    ids = pairs.select("a").union(pairs.select("b")).union(long_rows.select("doc")).distinct().withColumnRenamed("a", "doc_id")
+    classes = of_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(classes.withColumnRenamed("s1", "signature"), "classes")
+    counted = stored(seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "counted")
+    frequent = commonest(counted, "n", FREQUENT).toPandas()
+
+    found = stored(_candidates(_postings(docs, frequent, bins)), "candidates", "kind")
+    pairs = found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.min("q").alias("asked"), F.max("r").alias("reaches"))
+    pairs = stored(pairs.where("shared >= asked and reaches = 1").select("a", "b"), "pairs")
+    long_rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("rest"))
+
+    met = pairs.select("a").union(pairs.select("b")).union(long_rows.select("doc")).distinct().withColumnRenamed("a", "signature")
+    ids = stored(classes.join(met, "signature", "left_semi").select(F.col("class_id").alias("doc_id")), "ids")
     sets = stored(_whole_sets(docs, ids), "sets")
     # first one partner for each document, the smallest; those links are a forest
     tied = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -287,9 +317,11 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     # a document that no tie reached may still have come in by a later link
     components = trees.select("node", F.coalesce("c", "component").alias("component")).unionByName(joined.join(trees, "node", "left_anti"))
 
-    named = classes.join(components.withColumnRenamed("node", "class_id"), "class_id", "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    named = classes.join(components.withColumnRenamed("node", "signature"), "signature", "left").withColumn("component", F.coalesce("component", "signature"))
     named = stored(named, "named")
-    out = of_docs.join(named, ["n", "s1", "s2"], "left")
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, "component").select("n", F.col("signature").alias("s1"), "s2", "class_id", "component_id")
+    out = of_docs.join(stored(named, "named"), ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
