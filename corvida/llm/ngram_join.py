@@ -12,12 +12,14 @@ seen several times. The table of frequent shingles has a fixed size; it orders p
 never drops a shingle.
 
 Equal sets have equal signatures (64-bit sums of their hashes); postings name signatures, so
-copies meet as one and no text is shuffled to leave them out. A pair
-counts only if, at its first shared shingle, enough of both sets is left to reach the overlap
-it needs. Postings of up to 32 documents give their pairs. Longer ones tie each document to one of theirs first; pairs are
-made only for documents that those ties leave in different components. So a group of near
-copies costs its size, not its square, and no link between components is lost. Every
-candidate is verified on the whole sets.
+copies meet as one and no text is shuffled to leave them out. Postings of up to 32 documents
+give their pairs; a pair counts if it shares as many as it must (those it may share in longer
+postings included) and, at its first shared shingle, enough of both sets is left to reach the
+overlap it needs. A longer posting gives the pairs that first meet there. A few rounds of ties come first: each round compares all documents of a posting with one of them,
+another one each time, and joins the components of those that link. Pairs are made only for
+documents that the ties leave in different components. So a group of near copies costs its
+size, not its square, and no link between components is lost. Every candidate is verified on
+the whole sets.
 
 Cases: texts without words (null, empty, white space) have an empty set and no link; with
 one to four words the whole sequence is the one shingle; an empty table gives no rows;
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm import words
@@ -44,6 +46,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 FREQUENT = 200_000
 PAIRS_UP_TO = 32
+#: Rounds of ties in longer postings; what they leave apart is compared pair by pair.
+TIES = 3
 MOST_SHARED = 8
 #: Candidates up to which their ids (16 bytes each) are broadcast to pick out their texts.
 BROADCAST_IDS = 2_000_000
@@ -172,14 +176,14 @@ def _reaches(n_x, n_y, rest_x, rest_y) -> np.ndarray:
 
 
 def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.ndarray, rest: np.ndarray) -> tuple[list, list]:
-    """Pairs (a, b, shared, asked, reaches) of the short postings and ties of the long ones, and
-    the long postings' (token, doc, n, rest)."""
+    """Pairs (a, b, shared, asked, reaches) of the short postings, and the rows of the long ones
+    as (token, doc, n, rest)."""
     order = np.lexsort((doc, token))
     order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
     token, doc, n, asks, rest = (x[order] for x in (token, doc, n, asks, rest))
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
     size = np.diff(np.append(begin, len(token)))
-    first, second, ties, long_rows = [], [], [], []
+    first, second = [], []
     for k in np.unique(size[(size > 1) & (size <= PAIRS_UP_TO)]).tolist():
         at = begin[size == k]
         i, j = np.triu_indices(k, 1)
@@ -190,12 +194,8 @@ def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.nd
             fits = DENOMINATOR * small >= NUMERATOR * large
             first.append(x[fits])
             second.append(y[fits])
-    for a, k in zip(begin[size > PAIRS_UP_TO].tolist(), size[size > PAIRS_UP_TO].tolist(), strict=True):
-        # a first shared shingle lies in the prefix for l = 1
-        i = a + np.flatnonzero(DENOMINATOR * (1 + rest[a : a + k].astype(np.int64)) >= NUMERATOR * n[a : a + k].astype(np.int64))
-        if len(i) > 1:
-            ties.append(np.stack([np.full(len(i) - 1, doc[i[0]]), doc[i[1:]]]))
-            long_rows.append((token[i].view(np.int64), doc[i], n[i].astype(np.int64), rest[i].astype(np.int64)))
+    i = np.flatnonzero(np.repeat(size > PAIRS_UP_TO, size))
+    long_rows = token[i].view(np.int64), doc[i], *(x[i].astype(np.int64) for x in (n, rest))
     out = []
     if first:
         x, y = np.concatenate(first), np.concatenate(second)
@@ -205,11 +205,6 @@ def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.nd
         if len(a):
             at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             out.append((a[at], b[at], np.diff(np.append(at, len(a))), asked[at].astype(np.int64), np.maximum.reduceat(reaches, at).astype(np.int64)))
-    if ties:
-        t = np.concatenate(ties, axis=1)
-        t = np.unique(t, axis=1)
-        one = np.ones(t.shape[1], np.int64)
-        out.append((t[0], t[1], one * MOST_SHARED, one, one))
     return out, long_rows
 
 
@@ -220,8 +215,7 @@ def _candidates(blocks: DataFrame) -> DataFrame:
         columns = [np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint64), ("doc", np.int64), ("n", np.int32), ("asks", np.uint8), ("rest", np.int32))]
         pairs, long_rows = _pairs_within(*columns)
         frames = [pd.DataFrame({"kind": 0, "x": a, "y": b, "p": p, "q": q, "r": r}) for a, b, p, q, r in pairs]
-        frames += [pd.DataFrame({"kind": 1, "x": t, "y": d, "p": p, "q": q, "r": 0}) for t, d, p, q in long_rows]
-        return pd.concat(frames) if frames else pd.DataFrame({c: [] for c in ("kind", "x", "y", "p", "q", "r")}).astype(np.int64)
+        return pd.concat([*frames, pd.DataFrame({"kind": 1, **dict(zip("xypq", long_rows, strict=True)), "r": 0})])
 
     return blocks.groupBy("bin").applyInPandas(run, "kind int, x long, y long, p long, q long, r long")
 
@@ -266,21 +260,52 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _across(long_rows: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of the long postings between different components. Postings within one component,
-    as those of near copies, are left out by a count before any pair is made."""
+def _mixed(long_rows: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of the long postings that lie in several components, and the component of each."""
     of = components.select(F.col("node").alias("doc"), "component")
     rows = long_rows.join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rows = stored(rows.join(mixed, "token"), "mixed")
+    return rows.join(mixed, "token")
+
+
+def _can_link(x: str, y: str) -> Column:
+    """Whether two rows of a posting may link if its token is the first that they share."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    fits = F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+    reaches = (NUMERATOR + DENOMINATOR) * (1 + F.least(f"{x}.rest", f"{y}.rest")) >= NUMERATOR * (n + m)
+    return (F.col(f"{x}.component") != F.col(f"{y}.component")) & fits & reaches
+
+
+def _round_of_ties(long_rows: DataFrame, components: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of each document of a long posting with one document of it. That is one with
+    many long postings, as a copy with few changes has, so that many documents are near it."""
+    rows = stored(_mixed(long_rows, components).select("token", "weight", F.struct("doc", "n", "rest", "component").alias("x")), "mixed")
+    chance = F.pmod(F.xxhash64("x.doc", F.lit(seed)), F.lit(1000)) / 1000 * min(1, seed)
+    chosen = rows.groupBy("token").agg(F.max_by("x", F.struct(F.col("weight") * (2 - chance), F.col("x.doc"))).alias("y"))
+    return rows.join(chosen, "token").where(_can_link("x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def _across(long_rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs of the long postings between different components. Postings within one component,
+    as those of near copies, are left out by a count before any pair is made."""
     # sizes that can link lie in the same or the next size class
     step = F.log(F.lit(DENOMINATOR / NUMERATOR))
-    rows = rows.withColumn("cls", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    other = rows.select("token", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("rest").alias("r2"), F.col("component").alias("c2"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"))
-    met = rows.join(other, ["token", "cls"]).where((F.col("doc") < F.col("d2")) & (F.col("component") != F.col("c2")))
-    fits = F.least("n", "n2") * DENOMINATOR >= F.greatest("n", "n2") * NUMERATOR
-    reaches = (NUMERATOR + DENOMINATOR) * (1 + F.least("rest", "r2")) >= NUMERATOR * (F.col("n") + F.col("n2"))
-    return met.where(fits & reaches).select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
+    rows = stored(_mixed(long_rows, components), "mixed").withColumn("cls", F.floor(F.log("n") / step + 1e-9).cast("int"))
+    x = rows.select("token", "cls", F.struct("doc", "n", "rest", "component").alias("x"))
+    y = rows.select("token", F.struct("doc", "n", "rest", "component").alias("y"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"))
+    met = x.join(y, ["token", "cls"]).where((F.col("x.doc") < F.col("y.doc")) & _can_link("x", "y"))
+    return met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def _grown(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that further links make of these."""
+    for end in ("a", "b"):
+        of = components.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce(f"c{end}", end))
+    joined = connected_components(links.select("a", "b"))
+    grown = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+    # a document that was in none yet may come in by a later link
+    return grown.select("node", F.coalesce("c", "component").alias("component")).unionByName(joined.join(components, "node", "left_anti"))
 
 
 def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -297,8 +322,15 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     found = stored(_candidates(_postings(docs, frequent, bins)), "candidates", "kind")
     pairs = found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.min("q").alias("asked"), F.max("r").alias("reaches"))
-    pairs = stored(pairs.where("shared >= asked and reaches = 1").select("a", "b"), "pairs")
     long_rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("rest"))
+    weights = stored(long_rows.groupBy("doc").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    # what a pair shares in long postings isn't counted: as many as both have may be added
+    pairs = pairs.where("reaches = 1")
+    for end in ("a", "b"):
+        pairs = pairs.join(weights.select(F.col("doc").alias(end), F.col("weight").alias(f"w{end}")), end, "left")
+    pairs = stored(pairs.where(F.col("shared") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= F.col("asked")).select("a", "b"), "pairs")
+    # a first shared shingle lies in the prefix for l = 1
+    long_rows = stored(long_rows.where(DENOMINATOR * (1 + F.col("rest")) >= NUMERATOR * F.col("n")).join(weights, "doc"), "long")
 
     met = pairs.select("a").union(pairs.select("b")).union(long_rows.select("doc")).distinct().withColumnRenamed("a", "signature")
     ids = stored(classes.join(met, "signature", "left_semi").select(F.col("class_id").alias("doc_id")), "ids")
@@ -306,16 +338,14 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     # first one partner for each document, the smallest; those links are a forest
     tied = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     trees = stored(roots(_verified(tied, sets), "b", "a"), "trees")
-    # then only what is still apart, as links between trees
-    rest = _apart(pairs.join(tied, ["a", "b"], "left_anti"), trees).union(_apart(_across(long_rows, trees), trees)).distinct()
-    links = _verified(rest, sets)
-    for end in ("a", "b"):
-        of = trees.select(F.col("node").alias(end), F.col("component").alias(f"t{end}"))
-        links = links.join(of, end, "left").withColumn(end, F.coalesce(f"t{end}", end))
-    joined = connected_components(links)
-    trees = trees.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
-    # a document that no tie reached may still have come in by a later link
-    components = trees.select("node", F.coalesce("c", "component").alias("component")).unionByName(joined.join(trees, "node", "left_anti"))
+    for seed in range(TIES):
+        links = stored(_verified(_round_of_ties(long_rows, trees, seed), sets), "links")
+        if not links.limit(1).count():
+            break
+        trees = stored(_grown(trees, links), "trees")
+    # then only what is still apart
+    rest = _apart(pairs.join(tied, ["a", "b"], "left_anti"), trees).union(_across(long_rows, trees)).distinct()
+    components = _grown(trees, _verified(rest, sets))
 
     named = classes.join(components.withColumnRenamed("node", "signature"), "signature", "left").withColumn("component", F.coalesce("component", "signature"))
     named = stored(named, "named")
