@@ -10,9 +10,11 @@ words apart. The pair sum is computed as half of |sum v|^2 - sum |v|^2, in time
 the number of terms.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
-their doc_id, and at most ``TERMS`` terms, those that tell the labels apart best in that
-sample and beyond chance (``LEAST_Z2``); the bounds are parameters. Every document is then scored whole, in one pass over
-the table without a shuffle.
+their doc_id; the bound is a parameter. The machine gets the terms that tell the labels apart
+beyond chance in that sample, alone (``LEAST_Z2``) or as one of a pair: all pairs of terms are
+counted, and a pair counts if its share of toxic rows departs from what its terms have alone by
+more than chance gives in so many pairs. Every document is then scored whole, in one pass over the table
+without a shuffle.
 
 Cases: null and empty texts have no terms and get the score of a text without any known
 term; without labelled rows every score is 0; labels of one kind only give that kind's
@@ -35,7 +37,6 @@ from corvida.llm import words
 from corvida.session import ready, stored
 
 TRAIN_ROWS = 20_000
-TERMS = 4_096
 BUCKETS = 1 << 20
 FACTORS = 8
 THRESHOLD = 0.7
@@ -43,6 +44,7 @@ THRESHOLD = 0.7
 LEAST_Z2 = 22.0
 _STEM_BYTES = (4, 5, 6)
 _EPOCHS, _RATE, _DECAY = 80, 0.05, 1e-4
+_BLOCK = 1_024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -118,7 +120,77 @@ def _fit(term: np.ndarray, first: np.ndarray, label: np.ndarray, n_terms: int, s
     return float(params[0][0]), params[1], params[2]
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS) -> Model:
+def _deviance(clean: np.ndarray, toxic: np.ndarray, *shares: float) -> np.ndarray:
+    """Of so many clean and toxic rows where a share between ``shares`` would be toxic; beyond g by chance with at most 2 exp(-g / 2)."""
+    n = clean + toxic
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.clip(toxic / n, min(shares), max(shares))
+        return 2 * (np.where(toxic > 0, toxic * np.log(toxic / (n * share)), 0) + np.where(clean > 0, clean * np.log(clean / (n * (1 - share))), 0))
+
+
+def _paired(parts: list[np.ndarray], label: np.ndarray, clean: np.ndarray, toxic: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Which terms depart from chance in some pair; ``alone`` says which do without one. A pair with such a term is
+    held against that term's rows, other pairs against all rows. Long rows have more pairs of rare terms, so
+    the share expected lies between that of the rows and that of their sizes.
+
+    ``parts`` are the terms of each row, toxic rows first. A term with too few rows for a pair beyond chance, even if
+    all of them were of one label, is left out before pairs are counted; so no such pair is missed."""
+    n, n_terms, n1, share = len(label), len(alone), int(label.sum()), label.mean()
+    size, sure = np.array([len(p) for p in parts], float), 1 / (2 * n)
+    best = np.maximum(_deviance(np.zeros(n_terms), toxic, share), _deviance(clean, np.zeros(n_terms), share))
+    best[alone] = 0
+    some = int((best >= LEAST_Z2).sum())
+    least = max(LEAST_Z2, 2 * np.log(max(1, some * (some - 1) / 2 + alone.sum() * n_terms)))
+    out = np.zeros(n_terms, bool)
+    # pairs with a term that stands alone: the rows of each such term
+    with_alone = [p[alone[p]] for p in parts]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in with_alone])
+    with_alone = np.concatenate(with_alone)
+    order = np.argsort(with_alone, kind="stable")
+    row, ends = row[order], np.searchsorted(with_alone[order], np.arange(n_terms + 1))
+    for a in np.flatnonzero(alone):
+        rows = row[ends[a] : ends[a + 1]]
+        cut = int(np.searchsorted(rows, n1))
+        t, c = (np.bincount(np.concatenate([parts[r] for r in x]), minlength=n_terms) if len(x) else np.zeros(n_terms, int) for x in (rows[:cut], rows[cut:]))
+        own = np.clip([cut / len(rows), size[rows[:cut]].sum() / size[rows].sum()], sure, 1 - sure)
+        out |= (_deviance(c, t, *own) >= least) & ~alone
+    # all other pairs: products of 0/1 blocks, kept as bits; terms with the same rows are one
+    some = np.flatnonzero(best >= least)
+    place = np.full(n_terms, -1, np.int32)
+    place[some] = np.arange(len(some))
+    bits = []
+    for kind in (range(n1), range(n1, n)):
+        packed = np.zeros((len(some), -(-len(kind) // 8)), np.uint8)
+        for at in range(0, len(kind), 512):
+            dense = np.zeros((min(512, len(kind) - at), len(some)), bool)
+            for k, r in enumerate(kind[at : at + 512]):
+                found = place[parts[r]]
+                dense[k, found[found >= 0]] = True
+            packed[:, at // 8 : at // 8 + -(-len(dense) // 8)] = np.packbits(dense, axis=0).T
+        bits.append(packed)
+    same = np.zeros(len(some), np.uint64)
+    for k, column in enumerate(np.concatenate(bits, axis=1).T if len(some) else ()):
+        same += words.mix(column.astype(np.uint64) + np.uint64(256 * k + 1))
+    _, chosen, group = np.unique(same, return_index=True, return_inverse=True)
+    bits = [x[chosen] for x in bits]
+    found, by_size = np.zeros(len(chosen), bool), np.clip((label * size**2).sum() / max(1, (size**2).sum()), sure, 1 - sure)
+    for i in range(0, len(chosen), _BLOCK):
+        for j in range(0, i + 1, _BLOCK):
+            counts = []
+            for x in bits:
+                total = np.zeros((len(x[i : i + _BLOCK]), len(x[j : j + _BLOCK])), np.float32)
+                for k in range(0, x.shape[1], 256):
+                    left, right = (np.unpackbits(x[m : m + _BLOCK, k : k + 256], axis=1).astype(np.float32) for m in (i, j))
+                    total += left @ right.T
+                counts.append(total)
+            beyond = _deviance(counts[1], counts[0], share, by_size) >= least
+            found[i : i + _BLOCK] |= beyond.any(axis=1)
+            found[j : j + _BLOCK] |= beyond.any(axis=0)
+    out[some] |= found[group]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fits the machine on (doc_id, text) and (doc_id, toxic)."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -156,21 +228,26 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     # the square of z in a test that both labels have the term equally often
     both = (F.col("c") + F.col("t")) / (n0 + n1)
     gap = F.col("t") / n1 - F.col("c") / n0
-    best = by_bucket.where("c + t >= 3").select("bucket", (gap * gap / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)).alias("z2")).where(F.col("z2") >= LEAST_Z2).orderBy(F.desc("z2"), "bucket").limit(terms).collect()
-    place[[r["bucket"] for r in best]] = np.arange(len(best))
-    known_terms = len(best)
+    best = by_bucket.where("c + t >= 3").select("bucket", "c", "t", (gap * gap / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)).alias("z2")).toPandas()  # at most BUCKETS
+    best = best.sort_values(["z2", "bucket"], ascending=[False, True])
+    place[best["bucket"].to_numpy()] = np.arange(len(best))
+    alone = best["z2"].to_numpy() >= LEAST_Z2
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [place[np.frombuffer(b, np.int32)] for b in pdf["buckets"]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [r[r >= 0].tobytes() for r in rows]})
 
-    # at most train_rows rows of at most ``terms`` terms each
-    rows = seen.mapInPandas(project, "toxic int, terms binary").toPandas().sort_values(["toxic", "terms"], kind="stable")
-    parts = [np.frombuffer(b, np.int32) for b in rows["terms"]]
+    # at most train_rows rows; one part at a time passes through the driver's JVM
+    rows = sorted(((r["toxic"], bytes(r["terms"])) for r in seen.mapInPandas(project, "toxic int, terms binary").toLocalIterator()), key=lambda r: (-r[0], r[1]))
+    label = np.array([r[0] for r in rows], float)
+    parts = [np.frombuffer(r[1], np.int32) for r in rows]
+    chosen = alone | _paired(parts, label, best["c"].to_numpy(float), best["t"].to_numpy(float), alone)
+    number = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+    parts = [number[p[chosen[p]]] for p in parts]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    term = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return Model(place, *_fit(term, first, rows["toxic"].to_numpy(float), max(1, known_terms)))
+    place = np.where(place >= 0, np.append(number, -1)[place], -1).astype(np.int32)
+    return Model(place, *_fit(np.concatenate(parts), first, label, max(1, int(chosen.sum()))))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

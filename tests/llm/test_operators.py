@@ -226,6 +226,44 @@ def test_op6_pairs_of_words(spark):
     assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in got) / len(got) > 0.97
 
 
+@pytest.mark.parametrize("kind", ["exactly one", "rare pair"])
+def test_op6_words_neutral_alone(spark, kind):
+    """Each word is as common in toxic rows as in clean ones; only the pair tells."""
+    rng = random.Random(6)
+    rows, labels, paired = [], [], set()
+    for i in range(1500 if kind == "exactly one" else 5000):
+        a, b, slur = rng.random() < 0.5, rng.random() < 0.5, False
+        toxic = int(a != b)
+        if kind == "rare pair":
+            toxic, x = int(rng.random() < 0.1), rng.random()
+            a, b = (x < 0.2, x < 0.2) if toxic else (x < 0.2, 0.2 <= x < 0.4)
+            slur = bool(toxic and not a)
+        if a and b or kind == "exactly one":
+            paired.add(i)
+        w = [rng.choice([f"filler{k}" for k in range(30)]) for _ in range(8)] + ["insultus"] * a + ["grouppus"] * b + ["slurrus"] * slur
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    for some in (got, [r for r in got if r["doc_id"] in paired]):
+        assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in some) / len(some) > 0.97
+
+
+def test_op6_pairs_at_any_place():
+    """Pairs across blocks of terms, and with a term that tells the labels apart alone."""
+    rng = np.random.default_rng(1)
+    n, n_terms = 4000, 2600
+    label = (np.arange(n) < n // 5).astype(float)
+    has = rng.random((n, n_terms)) < 0.05
+    has[:, 5], has[:, 2500] = rng.random((2, n)) < 0.3
+    has[:, 2500] = np.where(label == 1, has[:, 5], has[:, 2500])  # together in toxic rows
+    has[:, 0] = rng.random(n) < np.where(label == 1, 0.6, 0.2)
+    has[:, 77] = np.where(has[:, 0], label == 0, has[:, 77])  # beside term 0 in clean rows only
+    parts, toxic = [np.flatnonzero(x).astype(np.int32) for x in has], has[label == 1].sum(axis=0)
+    found = np.flatnonzero(toxicity._paired(parts, label, (has.sum(axis=0) - toxic).astype(float), toxic.astype(float), np.arange(n_terms) == 0))
+    assert {5, 77, 2500} <= set(found.tolist()) and len(found) <= 12
+
+
 def test_op6_without_labels(spark, docs):
     got = toxicity.score_documents(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == docs.count() and {r["predicted"] for r in got} == {0}
