@@ -341,6 +341,21 @@ def test_op9_no_letter(spark, docs, rows):
     assert all((got[i] == "und") == (not any(c.isalpha() for c in t or "")) for i, t in rows)
 
 
+def test_op9_many_and_rare_languages(spark):
+    """More languages than a mask has bits, each with few rows beside a common one."""
+    rng = random.Random(8)
+    vocab = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for _ in range(71)]
+    rows = [(i, k, " ".join(rng.choice(vocab[k]) for _ in range(20))) for i, k in enumerate([0] * 6000 + [1 + j % 70 for j in range(70 * 12)])]
+    got = language_id.identify(spark.createDataFrame([(i, t, f"l{k:02}") for i, k, t in rows], "doc_id long, text string, lang string"), train_rows=1500).collect()
+    assert len(got) == len(rows) and sum(r["lang_pred"] == f"l{rows[r['doc_id']][1]:02}" for r in got) / len(got) > 0.99
+    assert {r["lang_pred"] for r in got} == {f"l{k:02}" for k in range(71)}
+
+
+def test_op9_quota():
+    assert language_id.quota([2, 100, 100], 102) == 50 and language_id.quota([5, 7], 100) == 7
+    assert language_id.quota([9] * 100, 10) == language_id.LEAST_DOCS and language_id.quota([], 10) == 0
+
+
 def test_op10_rows_and_slots(docs, rows):
     got = {r["doc_id"]: r for r in sharding.sharded(docs).collect()}
     assert set(got) == {i for i, _ in rows}
