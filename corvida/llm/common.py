@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvida.session import stored
+
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own in ``ROW``; they are stored, so it stays the same each time they are read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of numbered rows one for each group of groups (ROW, group): that with the smallest doc_id, nulls last, and of equal ones the first."""
+    rows = docs.select(F.col(ROW).alias("row"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    best = groups.select(F.col(ROW).alias("row"), "group").join(rows, "row").groupBy("group").agg(F.min(F.struct("none", "id", "row")).alias("best"))
+    return docs.join(best.select(F.col("best.row").alias("__kept")), F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+
 
 def commonest(df: DataFrame, column: str, most: int) -> DataFrame:
     """The rows with the largest values of a whole-number column, at most ``most`` of them; rows

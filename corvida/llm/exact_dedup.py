@@ -12,7 +12,9 @@ Only one row for each distinct digest is ever looked up: copies are counted befo
 shuffle, so a digest that a third of all rows share is one row for each task.
 
 Cases: a null text counts as empty, and all empty texts are one group; texts that differ in
-white space only are equal; an empty table gives no rows; further columns are ignored here
+white space only are equal; a group in which no row has a doc_id has a null keep_id, and kept is null
+for rows without a doc_id and true for each repetition of the winner's row, as in the SQL
+(``deduplicate`` keeps one row of every group); an empty table gives no rows; further columns are ignored here
 and kept by ``deduplicate``.
 """
 
@@ -23,12 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvida.llm.common import ROW, numbered, one_each
 from corvida.llm.words import mix
 from corvida.session import ready, stored
 
 BUCKET = 50_000
 BATCHES = 2
 _GAMMA, _LEVELS = 2.0, 40
+#: Stands for the winner of a group without any doc_id.
+_NONE = 2**63 - 1
 _INDEX = "bucket long, sizes array<int>, levels binary, digests binary, winners array<long>, counts array<long>"
 
 
@@ -98,7 +103,7 @@ def _index_bucket(bucket: int, digests: list[bytes], winners: np.ndarray, counts
 
 def _groups(rows: DataFrame) -> DataFrame:
     """A row for each distinct digest: digest, winner, n."""
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(_NONE)).alias("winner"), F.count(F.lit(1)).alias("n"))
 
 
 def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
@@ -159,10 +164,11 @@ def exact_groups(docs: DataFrame, batches: int = BATCHES, bucket: int = BUCKET,
         state = found.select("digest", F.col("keep_id").alias("winner"), F.col("group_size").alias("n"))
     final = stored(state, "digest-groups")
     out = rows.join(final, "digest")
-    return out.select("doc_id", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id") == F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull() | (F.col("winner") < _NONE), F.col("winner")).alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id") == F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which each group keeps one, with all their columns."""
-    kept = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    """The documents of which each group keeps one, that with the smallest doc_id, with all their columns.
+    A repeated row is kept once; rows without a doc_id are documents like others and come last."""
+    docs = numbered(docs)
+    return one_each(docs, exact_groups(docs, doc_id=ROW, **options).select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm import words
-from corvida.llm.common import commonest
+from corvida.llm.common import ROW, commonest, numbered, one_each
 from corvida.operators.components import connected_components, roots
 from corvida.session import ready, stored
 
@@ -356,6 +356,7 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents of which each component keeps the one with the smallest doc_id, with all their columns."""
-    keep = linked_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi")
+    """The documents of which each component keeps one, that with the smallest doc_id, with all their columns.
+    A repeated row is kept once; rows without a doc_id are documents like others and come last."""
+    docs = numbered(docs)
+    return one_each(docs, linked_components(docs, doc_id=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")))

@@ -391,3 +391,19 @@ def test_empty_tables(spark, nothing):
 def test_deduplicate_near_copies(docs, rows):
     kept = ngram_join.deduplicate(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in joined(rows).items() if i == c}
+
+
+@pytest.mark.parametrize("deduplicate", [exact_dedup.deduplicate, ngram_join.deduplicate])
+def test_deduplicate_repeated_rows_and_null_ids(spark, deduplicate):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(40)) for x in "abcd")
+    near = c + "more"
+    rows = [(1, a), (1, a), (2, a), (3, b), (None, b), (None, c), (None, c), (4, near), (None, d), (5, "one"), (5, "one")]
+    kept = deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(1, a), (3, b), *[(None, c)] * (deduplicate is exact_dedup.deduplicate), (4, near), (None, d), (5, "one")]
+    assert kept.columns == ["doc_id", "text"] and sorted(map(tuple, kept.collect()), key=lambda r: r[1]) == want
+
+
+def test_op5_groups_without_ids(spark):
+    got = exact_dedup.exact_groups(spark.createDataFrame([(None, "x"), (None, "x"), (None, "y"), (4, "y")], "doc_id long, text string")).collect()
+    assert sorted((r["text_sha256"] == hashlib.sha256(b"x").hexdigest(), r["doc_id"] is None, r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] is not None) == [(False, False, 4, 2, True)]
+    assert Counter((r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] is None) == {(None, 2, None): 2, (4, 2, None): 1}
