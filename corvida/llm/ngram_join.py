@@ -7,19 +7,24 @@ document chooses its own l: a longer prefix reads more postings but asks for mor
 shingles, so it pays where the estimated number of candidates is high. A pair of documents
 must share as many prefix shingles as the smaller of their l.
 
-Estimates come from all documents: each task counts its shingles and passes on those it has
-seen several times. The table of frequent shingles has a fixed size; it orders prefixes and
-never drops a shingle.
+Estimates come from all documents: each task counts the shingles of its distinct sets, and the
+counts of all tasks are added up by bin, four bytes a shingle. Those in more sets than a short
+posting holds go, the commonest first, into a table of ``SLOTS`` bytes that every task gets; it
+orders prefixes and never drops a shingle.
 
 Equal sets have equal signatures (64-bit sums of their hashes); postings name signatures, so
-copies meet as one and no text is shuffled to leave them out. Postings of up to 32 documents
-give their pairs; a pair counts if it shares as many as it must (those it may share in longer
-postings included) and, at its first shared shingle, enough of both sets is left to reach the
-overlap it needs. A longer posting gives the pairs that first meet there. A few rounds of ties come first: each round compares all documents of a posting with one of them,
-another one each time, and joins the components of those that link. Pairs are made only for
-documents that the ties leave in different components. So a group of near copies costs its
-size, not its square, and no link between components is lost. Every candidate is verified on
-the whole sets.
+copies meet as one and no text is shuffled to leave them out. Postings of up to
+``PAIRS_UP_TO`` documents give their pairs; a pair counts if it shares as many as it must
+(those it may share in longer postings included) and, at its first shared shingle, enough of
+both sets is left to reach the overlap it needs. A longer posting gives the pairs that first
+meet there. A few rounds of ties come first: each round compares all documents of a posting
+with one of them, another one each time, and joins the components of those that link. Pairs
+are made only for documents that the ties leave in different components, block by block. So a
+group of near copies costs its size, not its square, and no link between components is lost.
+Every candidate is verified on the whole sets.
+
+Bins hold the shingles of a bounded amount of text: there are as many as the texts' bytes ask
+for, and a shingle of very many documents is dealt by document over all of them.
 
 Cases: texts without words (null, empty, white space) have an empty set and no link; with
 one to four words the whole sequence is the one shingle; an empty table gives no rows;
@@ -44,17 +49,25 @@ from corvida.session import ready, stored
 SHINGLE = 5
 #: The similarity, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 3, 4
-FREQUENT = 200_000
-PAIRS_UP_TO = 32
+#: Bytes of the table of frequent shingles, a power of two.
+SLOTS = 1 << 24
+PAIRS_UP_TO = 4
 #: Rounds of ties in longer postings; what they leave apart is compared pair by pair.
 TIES = 3
 MOST_SHARED = 8
 #: Candidates up to which their ids (16 bytes each) are broadcast to pick out their texts.
 BROADCAST_IDS = 2_000_000
-_SEEN, _COUNTED = 3, 3_000_000
+#: Text whose shingles one bin gets, and sets from which on a shingle is dealt over many bins.
+BIN_BYTES, HOT = 128_000_000, 2_000
+#: Documents of a posting's size class that are compared in one block.
+BLOCK = 500
+_COUNTED = 3_000_000
 #: Other documents taken to have a shingle that isn't in the table.
 _RARE = 0.1
 _FLUSH = 1_500_000
+_LOW = np.uint64(0xFFFFFFFF)
+#: Sets by level of the table.
+_SETS = np.concatenate([[_RARE], 2 ** (np.arange(1, 256) / 4)])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -69,38 +82,111 @@ def _signed(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([int(s.sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64).view(np.int64)
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """kind 0: a row for each document (id, n, two hashes of the whole set); kind 1: shingles that
-    a task has seen at least three times (id, n = times)."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+def number_of_bins(docs: DataFrame) -> int:
+    """Bins for the shingles of all texts, so that each gets those of about ``BIN_BYTES`` of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BIN_BYTES))
 
-    def rows_of(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-        filled = [*columns, *[np.zeros(len(columns[0]), np.int64)] * (4 - len(columns))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c) for c in filled)], schema=schema)
 
-    def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.sort(np.concatenate(parts))
+def _keys(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """A shingle's bin and, in the low half, its low 32 bits."""
+    return ((shingles >> np.uint64(32)) % np.uint64(bins)) << np.uint64(32) | shingles & _LOW
+
+
+def _cuts(bin_of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bin, begin, end) of each bin in a sorted column of bins."""
+    at = np.flatnonzero(np.concatenate([[True], bin_of[1:] != bin_of[:-1]])) if len(bin_of) else np.empty(0, np.int64)
+    return zip(bin_of[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bin_of)], strict=True)
+
+
+def _signatures(docs: DataFrame, bins: int) -> DataFrame:
+    """kind 0: a row for each document (id, n, two hashes of the whole set); kind 1: the shingles
+    of a task by bin (id): their low 32 bits, those met once and those met again with how often."""
+    fields = [("kind", pa.int32()), *((c, pa.int64()) for c in ("id", "n", "s1", "s2")), *((c, pa.binary()) for c in ("once", "again", "times"))]
+    schema = pa.schema(fields)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(_keys(np.concatenate(parts), bins))
         at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        times = np.diff(np.append(at, len(x)))
-        keep = times >= _SEEN
-        return rows_of(1, x[at[keep]].view(np.int64), times[keep])
+        x, times = x[at], np.diff(np.append(at, len(x))).astype(np.uint32)
+        low, more, out = x.astype(np.uint32), times > 1, []
+        for b, i, j in _cuts((x >> np.uint64(32)).astype(np.int64)):
+            some = more[i:j]
+            out.append((1, b, 0, 0, 0, low[i:j][~some].tobytes(), low[i:j][some].tobytes(), times[i:j][some].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, done = [], 0, set()
         for rows, sets in _sets(batches):
             n = np.array([len(s) for s in sets], np.int64)
             s1 = _signed(sets)
             s2 = np.array([int(words.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) & 0xFFFFFFFFFFFFFFFF for s in sets], np.uint64)
-            yield rows_of(0, rows.column(0).to_numpy(), n, s1, s2.view(np.int64))
-            parts += sets
-            held += int(n.sum())
+            none = pa.array([None] * len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), rows.column(0), pa.array(n), pa.array(s1), pa.array(s2.view(np.int64)), none, none, none], schema=schema)
+            for signature, s in zip(s1.tolist(), sets, strict=True):
+                if len(s) and signature not in done:
+                    done.add(signature)
+                    parts.append(s)
+                    held += len(s)
             if held >= _COUNTED:
-                yield frequent(parts)
-                parts, held = [], 0
+                yield counted(parts)
+                parts, held, done = [], 0, set()
         if held:
-            yield frequent(parts)
+            yield counted(parts)
+
+    return docs.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, once binary, again binary, times binary")
+
+
+def _runs(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and how often each is there, or the sum of its n."""
+    if n is None:
+        x = np.sort(x)
+    else:
+        order = np.argsort(x)
+        x, n = x[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x))) if n is None else np.add.reduceat(n, at, dtype=np.int64) if len(x) else n.astype(np.int64)
+
+
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    """slot (of the table of frequencies) and n (distinct sets that have it, those of several
+    tasks added up) of every shingle in more sets than a short posting holds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        once, again, times = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("once", "again", "times"))
+        x, n = _runs(once)
+        y, m = _runs(again, times)
+        at = np.searchsorted(x, y)
+        both = np.append(x, [0]).take(at) == y
+        both &= at < len(x)
+        n[at[both]] += m[both]
+        x, n = np.concatenate([x, y[~both]]), np.concatenate([n, m[~both]])
+        keep = n > PAIRS_UP_TO
+        return pd.DataFrame({"slot": _slots(np.uint64(pdf["id"].iloc[0]) << np.uint64(32) | x[keep].astype(np.uint64)), "n": n[keep]})
+
+    return blocks.select("id", "once", "again", "times").groupBy("id").applyInPandas(run, "slot int, n long")
 
-    return docs.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long")
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (words.mix(keys) & np.uint64(SLOTS - 1)).astype(np.int32)
+
+
+def _table(frequencies: DataFrame) -> np.ndarray:
+    """A byte for each slot: 0 for shingles that aren't frequent, else about 4 log2 of the number
+    of sets. The commonest shingles that fill a quarter of the slots at most are in."""
+    bits = 16
+    counted = commonest(frequencies, "n", SLOTS // 4)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(1 << bits, np.uint8)
+        np.maximum.at(part, pdf["slot"].to_numpy() & ((1 << bits) - 1), (4 * np.log2(pdf["n"].to_numpy())).astype(np.uint8))
+        return pd.DataFrame({"part": [int(pdf["slot"].iloc[0]) >> bits], "bytes": [part.tobytes()]})
+
+    out = np.zeros((SLOTS >> bits, 1 << bits), np.uint8)
+    parts = counted.withColumn("part", F.shiftright("slot", bits)).groupBy("part").applyInPandas(run, "part int, bytes binary")
+    for row in parts.collect():  # SLOTS bytes in all
+        out[row["part"]] = np.frombuffer(row["bytes"], np.uint8)
+    return out.ravel()
 
 
 def chosen_prefix(n: int, est: np.ndarray) -> tuple[int, int]:
@@ -114,52 +200,42 @@ def chosen_prefix(n: int, est: np.ndarray) -> tuple[int, int]:
     return n - needed + best + 1, best + 1
 
 
-class _Order:
-    """The global order: the frequent shingles by frequency come after all others."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[np.lexsort((self.hashes, self.counts))] = np.arange(len(order))
-
-    def sort(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The set in the global order and the estimated frequencies."""
-        if not len(self.hashes):
-            return s, np.full(len(s), _RARE)
-        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        known = self.hashes[at] == s
-        last = at[known]
-        last = last[np.argsort(self.rank[last])]
-        return np.concatenate([s[~known], self.hashes[last]]), np.concatenate([np.full(len(s) - len(last), _RARE), self.counts[last]])
+def in_order(s: np.ndarray, table: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted set in the global order, and the estimated number of sets that have each shingle."""
+    level = table[_slots(_keys(s, bins))]
+    order = np.argsort(level, kind="stable")
+    return s[order], _SETS[level[order]]
 
 
-def _postings(docs: DataFrame, frequent: pd.DataFrame, bins: int) -> DataFrame:
-    """The prefix shingles of all distinct sets, packed into a block for each bin and task."""
-    hashes, counts = frequent["id"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.float64)
-    schema = pa.schema([("bin", pa.int32()), ("token", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("asks", pa.binary()), ("rest", pa.binary())])
+def _postings(docs: DataFrame, table: np.ndarray, bins: int) -> DataFrame:
+    """The prefix shingles of all distinct sets, packed into a block for each bin and task. Hot
+    shingles are dealt by document over further bins, so none of them gathers in one."""
+    schema = pa.schema([("bin", pa.int64()), *((c, pa.binary()) for c in ("token", "doc", "n", "asks", "rest"))])
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # SLOTS bytes
+    kind = np.min_scalar_type(2 * bins)  # numpy sorts small numbers by their digits
 
     def flushed(parts: list[tuple]) -> pa.RecordBatch:
         size = np.array([len(p[0]) for p in parts])
-        token = np.concatenate([p[0] for p in parts])
-        bin_of = (words.mix(token) % np.uint64(bins)).astype(np.int32)
+        token, hot = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        doc, n, asks = (np.repeat(np.array([p[k] for p in parts], t), size) for k, t in ((2, np.int64), (3, np.int32), (4, np.uint8)))
+        rest = np.concatenate([p[3] - 1 - np.arange(len(p[0]), dtype=np.int32) for p in parts]).astype(np.int32)
+        bin_of = ((token >> np.uint64(32)) % np.uint64(bins)).astype(kind)
+        bin_of[hot] = words.mix(token[hot] ^ words.mix(doc[hot].view(np.uint64))) % np.uint64(bins) + np.uint64(bins)
         order = np.argsort(bin_of, kind="stable")
-        doc, n, asks = (np.repeat(np.array([p[k] for p in parts], t), size)[order] for k, t in ((1, np.int64), (2, np.int32), (3, np.uint8)))
-        rest = np.concatenate([p[2] - 1 - np.arange(len(p[0]), dtype=np.int32) for p in parts]).astype(np.int32)[order]
-        token, cuts = token[order], np.searchsorted(bin_of[order], np.arange(bins + 1))
-        out = [(b, *(x[cuts[b] : cuts[b + 1]].tobytes() for x in (token, doc, n, asks, rest))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        columns = [c[order] for c in (token, doc, n, asks, rest)]
+        out = [(b, *(c[i:j].tobytes() for c in columns)) for b, i, j in _cuts(bin_of[order])]
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, parts, held, done = _Order(hashes, counts), [], 0, set()
+        parts, held, done = [], 0, set()
         for _, sets in _sets(batches):
             for signature, s in zip(_signed(sets).tolist(), sets, strict=True):
                 if not len(s) or signature in done:
                     continue
                 done.add(signature)
-                ordered, est = order.sort(s)
+                ordered, est = in_order(s, shared.value, bins)
                 length, asks = chosen_prefix(len(s), est)
-                parts.append((ordered[:length], signature, len(s), asks))
+                parts.append((ordered[:length], est[:length] >= HOT, signature, len(s), asks))
                 held += length
             if held >= _FLUSH:
                 yield flushed(parts)
@@ -167,7 +243,7 @@ def _postings(docs: DataFrame, frequent: pd.DataFrame, bins: int) -> DataFrame:
         if held:
             yield flushed(parts)
 
-    return docs.mapInArrow(run, "bin int, token binary, doc binary, n binary, asks binary, rest binary")
+    return docs.mapInArrow(run, "bin long, token binary, doc binary, n binary, asks binary, rest binary")
 
 
 def _reaches(n_x, n_y, rest_x, rest_y) -> np.ndarray:
@@ -175,16 +251,16 @@ def _reaches(n_x, n_y, rest_x, rest_y) -> np.ndarray:
     return (NUMERATOR + DENOMINATOR) * (1 + np.minimum(rest_x, rest_y).astype(np.int64)) >= NUMERATOR * (n_x.astype(np.int64) + n_y)
 
 
-def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.ndarray, rest: np.ndarray) -> tuple[list, list]:
-    """Pairs (a, b, shared, asked, reaches) of the short postings, and the rows of the long ones
-    as (token, doc, n, rest)."""
+def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.ndarray, rest: np.ndarray, short: int) -> tuple[list, list]:
+    """Pairs (a, b, shared, asked, reaches) of the postings of up to ``short`` documents, and the
+    rows of the longer ones as (token, doc, n, rest)."""
     order = np.lexsort((doc, token))
     order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
     token, doc, n, asks, rest = (x[order] for x in (token, doc, n, asks, rest))
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
     size = np.diff(np.append(begin, len(token)))
     first, second = [], []
-    for k in np.unique(size[(size > 1) & (size <= PAIRS_UP_TO)]).tolist():
+    for k in np.unique(size[(size > 1) & (size <= short)]).tolist():
         at = begin[size == k]
         i, j = np.triu_indices(k, 1)
         step = max(1, 2_000_000 // len(i))
@@ -194,7 +270,7 @@ def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.nd
             fits = DENOMINATOR * small >= NUMERATOR * large
             first.append(x[fits])
             second.append(y[fits])
-    i = np.flatnonzero(np.repeat(size > PAIRS_UP_TO, size))
+    i = np.flatnonzero(np.repeat(size > short, size))
     long_rows = token[i].view(np.int64), doc[i], *(x[i].astype(np.int64) for x in (n, rest))
     out = []
     if first:
@@ -208,12 +284,12 @@ def _pairs_within(token: np.ndarray, doc: np.ndarray, n: np.ndarray, asks: np.nd
     return out, long_rows
 
 
-def _candidates(blocks: DataFrame) -> DataFrame:
+def _candidates(blocks: DataFrame, bins: int) -> DataFrame:
     """kind 0: pairs (x, y, p = shared, q = asked, r = reaches); kind 1: long postings (x = token, y = doc, p = n, q = rest)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = [np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint64), ("doc", np.int64), ("n", np.int32), ("asks", np.uint8), ("rest", np.int32))]
-        pairs, long_rows = _pairs_within(*columns)
+        pairs, long_rows = _pairs_within(*columns, PAIRS_UP_TO if pdf["bin"].iloc[0] < bins else 0)
         frames = [pd.DataFrame({"kind": 0, "x": a, "y": b, "p": p, "q": q, "r": r}) for a, b, p, q, r in pairs]
         return pd.concat([*frames, pd.DataFrame({"kind": 1, **dict(zip("xypq", long_rows, strict=True)), "r": 0})])
 
@@ -287,13 +363,26 @@ def _round_of_ties(long_rows: DataFrame, components: DataFrame, seed: int) -> Da
 
 def _across(long_rows: DataFrame, components: DataFrame) -> DataFrame:
     """Pairs of the long postings between different components. Postings within one component,
-    as those of near copies, are left out by a count before any pair is made."""
+    as those of near copies, are left out by a count before any pair is made. The others are
+    cut into blocks of ``BLOCK`` documents or less, which are compared block by block, so no
+    task gets all pairs of a posting."""
     # sizes that can link lie in the same or the next size class
     step = F.log(F.lit(DENOMINATOR / NUMERATOR))
-    rows = stored(_mixed(long_rows, components), "mixed").withColumn("cls", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    x = rows.select("token", "cls", F.struct("doc", "n", "rest", "component").alias("x"))
-    y = rows.select("token", F.struct("doc", "n", "rest", "component").alias("y"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"))
-    met = x.join(y, ["token", "cls"]).where((F.col("x.doc") < F.col("y.doc")) & _can_link("x", "y"))
+    rows = stored(_mixed(long_rows, components).withColumn("cls", F.floor(F.log("n") / step + 1e-9).cast("int")), "mixed")
+    sizes = rows.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("size"))
+    one = F.struct("doc", "n", "rest", "component")
+    x = rows.select("token", "cls", one.alias("x"))
+    y = rows.select("token", one.alias("y"), F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"))
+    # a side has about three times as many rows as the size; each block of one meets each of the other
+    blocks = stored(sizes.select("token", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+
+    def dealt(side: DataFrame, of: str, mine: str, other: str) -> DataFrame:
+        side = side.join(blocks, ["token", "cls"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        side = side.withColumn(mine, F.pmod(F.xxhash64(f"{of}.doc"), "blocks").cast("int"))
+        return side.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    met = dealt(x, "x", "i", "j").join(dealt(y, "y", "j", "i"), ["token", "cls", "i", "j"])
+    met = met.where((F.col("x.doc") < F.col("y.doc")) & _can_link("x", "y"))
     return met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
@@ -312,15 +401,14 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """A row for each document: doc_id, n_shingles, class_id (smallest doc_id of its equal sets), component_id."""
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bins = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = stored(_signatures(docs), "signatures", "kind")
+    bins = number_of_bins(docs)
+    seen = stored(_signatures(docs, bins), "signatures", "kind")
     of_docs = seen.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2")
     classes = of_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     classes = stored(classes.withColumnRenamed("s1", "signature"), "classes")
-    counted = stored(seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "counted")
-    frequent = commonest(counted, "n", FREQUENT).toPandas()
+    table = _table(stored(_frequencies(seen.where("kind = 1")), "frequencies"))
 
-    found = stored(_candidates(_postings(docs, frequent, bins)), "candidates", "kind")
+    found = stored(_candidates(_postings(docs, table, bins), bins), "candidates", "kind")
     pairs = found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.min("q").alias("asked"), F.max("r").alias("reaches"))
     long_rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("rest"))
     weights = stored(long_rows.groupBy("doc").agg(F.count(F.lit(1)).alias("weight")), "weights")

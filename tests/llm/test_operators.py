@@ -382,10 +382,43 @@ def test_op10_fewest_bytes():
         assert spent == min(sum(x[i][j] * cost[i][j] for i in range(3) for j in range(3)) for x in product(*ways) if all(sum(x[i][j] for i in range(3)) == capacity[j] for j in range(3)))
 
 
-def test_empty_tables(spark, nothing):
+EACH = {
+    "op1": lambda docs, items, labels: substring_dedup.remove_repeats(docs),
+    "op2": lambda docs, items, labels: packing.pack_documents(docs),
+    "op3": lambda docs, items, labels: decontamination.contained(docs, items),
+    "op4": lambda docs, items, labels: ngram_join.linked_components(docs),
+    "op5": lambda docs, items, labels: exact_dedup.exact_groups(docs),
+    "op6": lambda docs, items, labels: toxicity.score_documents(docs, labels),
+    "op7": lambda docs, items, labels: token_binary.token_files(docs),
+    "op8": lambda docs, items, labels: lm_scoring.score_texts(docs, rounds=1),
+    "op9": lambda docs, items, labels: language_id.identify(docs),
+    "op10": lambda docs, items, labels: sharding.sharded(docs),
+}
+
+
+@pytest.mark.parametrize("name", EACH)
+@pytest.mark.parametrize("texts", [[], ["one text alone, with some words in it"], [None], [None, "", " \t"], ["a b c d e f", "g h i j k l", "m n"]])
+def test_few_rows(spark, name, texts):
+    """No row, one, none with a text, texts that have nothing in common."""
     items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
-    for df in (substring_dedup.remove_repeats(nothing), packing.pack_documents(nothing), decontamination.contained(nothing, items), ngram_join.linked_components(nothing), exact_dedup.exact_groups(nothing), toxicity.score_documents(nothing, labels), token_binary.token_files(nothing), lm_scoring.score_texts(nothing, rounds=1), language_id.identify(nothing), sharding.sharded(nothing)):
-        assert df.collect() == []
+    docs = spark.createDataFrame([(i, t, "en", None, None, "h", 1, 2, "r", 0.5, "s") for i, t in enumerate(texts)], SCHEMA)
+    got = [r["doc_id"] for r in EACH[name](docs, items, labels).collect()]
+    assert sorted(got) == ([] if name == "op3" else list(range(len(texts))))
+
+
+def test_op4_far_members_in_blocks(spark, monkeypatch):
+    """Long postings without ties, in blocks of a few documents, and hot shingles dealt by document."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    test_op4_group_with_far_members(spark, 0, monkeypatch)
+
+
+def test_op4_frequencies(spark):
+    """Counts of all tasks are added up."""
+    rows = [(i, f"start{i} " + "a b c d e f g" if i < 40 else f"other{i} x y z") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    blocks = ngram_join._signatures(docs, 4).where("kind = 1")
+    assert sorted(r["n"] for r in ngram_join._frequencies(blocks).collect()) == [40, 40, 40]
 
 
 def test_deduplicate_near_copies(docs, rows):
