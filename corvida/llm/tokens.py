@@ -54,7 +54,7 @@ class Encoder:
         for m in _ODD_SPACE.finditer(data):
             odd[np.searchsorted(offsets, m.start(), "right") - 1] = True
         start, end, first = words.spans(data, offsets)
-        begin = np.concatenate([[0], end[:-1]])
+        begin = np.concatenate([[0], end])[: len(end)]
         full = np.flatnonzero(first[1:] > first[:-1])
         begin[first[full]] = offsets[full]
         # white space at the end of a row, or all of it, is a piece of its own
