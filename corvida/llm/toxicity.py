@@ -10,11 +10,12 @@ words apart. The pair sum is computed as half of |sum v|^2 - sum |v|^2, in time
 the number of terms.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
-their doc_id; the bound is a parameter. The machine gets the terms that tell the labels apart
-beyond chance in that sample, alone (``LEAST_Z2``) or as one of a pair: all pairs of terms are
-counted, and a pair counts if its share of toxic rows departs from what its terms have alone by
-more than chance gives in so many pairs. Every document is then scored whole, in one pass over the table
-without a shuffle.
+their doc_id. The machine gets the terms that tell the labels apart beyond chance in that
+sample, alone (``LEAST_Z2``) or as one of a pair. All pairs of whole words are counted, by
+Spark, over ``PAIR_ROWS`` of those documents, toxic and clean ones in equal numbers if there
+are as many; a pair counts if its share of toxic rows departs from what its terms have alone by
+more than chance gives in so many pairs. Both bounds are parameters. Every document is then
+scored whole, in one pass over the table without a shuffle.
 
 Cases: null and empty texts have no terms and get the score of a text without any known
 term; without labelled rows every score is 0; labels of one kind only give that kind's
@@ -30,13 +31,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.llm import words
 from corvida.session import ready, stored
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, PAIR_ROWS = 20_000, 6_000
 BUCKETS = 1 << 20
 FACTORS = 8
 THRESHOLD = 0.7
@@ -120,94 +121,103 @@ def _fit(term: np.ndarray, first: np.ndarray, label: np.ndarray, n_terms: int, s
     return float(params[0][0]), params[1], params[2]
 
 
-def _deviance(clean: np.ndarray, toxic: np.ndarray, *shares: float) -> np.ndarray:
-    """Of so many clean and toxic rows where a share between ``shares`` would be toxic; beyond g by chance with at most 2 exp(-g / 2)."""
+def _deviance(clean: np.ndarray, toxic: np.ndarray, low, high) -> np.ndarray:
+    """Of so many clean and toxic rows where a share from low to high would be toxic; beyond g by chance with at most 2 exp(-g / 2)."""
     n = clean + toxic
     with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.clip(toxic / n, min(shares), max(shares))
+        share = np.clip(toxic / n, low, high)
         return 2 * (np.where(toxic > 0, toxic * np.log(toxic / (n * share)), 0) + np.where(clean > 0, clean * np.log(clean / (n * (1 - share))), 0))
 
 
-def _paired(parts: list[np.ndarray], label: np.ndarray, clean: np.ndarray, toxic: np.ndarray, alone: np.ndarray) -> np.ndarray:
+@dataclass
+class _Pairs:
+    """Terms as packed bits over the toxic and the clean rows, and the share of toxic rows that is
+    expected of a pair: least and greatest, for pairs with each term that stands alone and for all others."""
+
+    toxic: np.ndarray
+    clean: np.ndarray
+    own: np.ndarray
+    overall: np.ndarray
+    alone: np.ndarray
+    least: float
+
+    def beyond(self, i: int, j: int) -> np.ndarray:
+        """The terms of two blocks, from i and from j on, that depart from chance in some pair of them."""
+        x, y = slice(i, i + _BLOCK), slice(j, j + _BLOCK)
+        t, c = (np.unpackbits(bits[x], axis=1).astype(np.float32) @ np.unpackbits(bits[y], axis=1).astype(np.float32).T for bits in (self.toxic, self.clean))
+        a, b = self.alone[x, None], self.alone[None, y]
+        low, high = (np.where(a, self.own[k][x, None], np.where(b, self.own[k][None, y], self.overall[k])) for k in (0, 1))
+        hit = (_deviance(c, t, low, high) >= self.least) & ~(a & b)
+        return np.concatenate([i + np.flatnonzero(hit.any(axis=1)), j + np.flatnonzero(hit.any(axis=0))])
+
+
+def _paired(parts: list[np.ndarray], label: np.ndarray, clean: np.ndarray, toxic: np.ndarray, alone: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
     """Which terms depart from chance in some pair; ``alone`` says which do without one. A pair with such a term is
     held against that term's rows, other pairs against all rows. Long rows have more pairs of rare terms, so
     the share expected lies between that of the rows and that of their sizes.
 
     ``parts`` are the terms of each row, toxic rows first. A term with too few rows for a pair beyond chance, even if
-    all of them were of one label, is left out before pairs are counted; so no such pair is missed."""
+    all of them were of one label, is left out before pairs are counted; so no such pair is missed. Pairs of blocks of
+    terms are counted as products of 0/1 matrices, in Spark's tasks if there is a session."""
     n, n_terms, n1, share = len(label), len(alone), int(label.sum()), label.mean()
     size, sure = np.array([len(p) for p in parts], float), 1 / (2 * n)
-    best = np.maximum(_deviance(np.zeros(n_terms), toxic, share), _deviance(clean, np.zeros(n_terms), share))
-    best[alone] = 0
-    some = int((best >= LEAST_Z2).sum())
-    least = max(LEAST_Z2, 2 * np.log(max(1, some * (some - 1) / 2 + alone.sum() * n_terms)))
-    out = np.zeros(n_terms, bool)
-    # pairs with a term that stands alone: the rows of each such term
-    with_alone = [p[alone[p]] for p in parts]
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in with_alone])
-    with_alone = np.concatenate(with_alone)
-    order = np.argsort(with_alone, kind="stable")
-    row, ends = row[order], np.searchsorted(with_alone[order], np.arange(n_terms + 1))
-    for a in np.flatnonzero(alone):
-        rows = row[ends[a] : ends[a + 1]]
-        cut = int(np.searchsorted(rows, n1))
-        t, c = (np.bincount(np.concatenate([parts[r] for r in x]), minlength=n_terms) if len(x) else np.zeros(n_terms, int) for x in (rows[:cut], rows[cut:]))
-        own = np.clip([cut / len(rows), size[rows[:cut]].sum() / size[rows].sum()], sure, 1 - sure)
-        out |= (_deviance(c, t, *own) >= least) & ~alone
-    # all other pairs: products of 0/1 blocks, kept as bits; terms with the same rows are one
+    none = np.zeros(n_terms)
+    best = np.maximum(_deviance(none, toxic, share, share), _deviance(clean, none, share, share))
+    best[alone] = np.inf
+    free = int((~alone & (best >= LEAST_Z2)).sum())
+    least = max(LEAST_Z2, 2 * np.log(max(1, free * (free - 1) / 2 + alone.sum() * n_terms)))
     some = np.flatnonzero(best >= least)
     place = np.full(n_terms, -1, np.int32)
     place[some] = np.arange(len(some))
-    bits = []
-    for kind in (range(n1), range(n1, n)):
-        packed = np.zeros((len(some), -(-len(kind) // 8)), np.uint8)
-        for at in range(0, len(kind), 512):
-            dense = np.zeros((min(512, len(kind) - at), len(some)), bool)
-            for k, r in enumerate(kind[at : at + 512]):
-                found = place[parts[r]]
-                dense[k, found[found >= 0]] = True
-            packed[:, at // 8 : at // 8 + -(-len(dense) // 8)] = np.packbits(dense, axis=0).T
-        bits.append(packed)
-    same = np.zeros(len(some), np.uint64)
-    for k, column in enumerate(np.concatenate(bits, axis=1).T if len(some) else ()):
-        same += words.mix(column.astype(np.uint64) + np.uint64(256 * k + 1))
-    _, chosen, group = np.unique(same, return_index=True, return_inverse=True)
-    bits = [x[chosen] for x in bits]
-    found, by_size = np.zeros(len(chosen), bool), np.clip((label * size**2).sum() / max(1, (size**2).sum()), sure, 1 - sure)
-    for i in range(0, len(chosen), _BLOCK):
-        for j in range(0, i + 1, _BLOCK):
-            counts = []
-            for x in bits:
-                total = np.zeros((len(x[i : i + _BLOCK]), len(x[j : j + _BLOCK])), np.float32)
-                for k in range(0, x.shape[1], 256):
-                    left, right = (np.unpackbits(x[m : m + _BLOCK, k : k + 256], axis=1).astype(np.float32) for m in (i, j))
-                    total += left @ right.T
-                counts.append(total)
-            beyond = _deviance(counts[1], counts[0], share, by_size) >= least
-            found[i : i + _BLOCK] |= beyond.any(axis=1)
-            found[j : j + _BLOCK] |= beyond.any(axis=0)
-    out[some] |= found[group]
-    return out
-
-
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    term, row = place[np.concatenate(parts)], np.repeat(np.arange(n), size.astype(int))
+    term, row = term[term >= 0], row[term >= 0]
+    bits = np.zeros((len(some), n), bool)
+    bits[term, row] = True
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = [np.bincount(term, w * (row < n1), len(some)) / np.bincount(term, w, len(some)) for w in (np.ones(len(row)), size[row])]
+    own = np.clip([np.minimum(*own), np.maximum(*own)], sure, 1 - sure)
+    overall = np.clip(sorted([share, (label * size**2).sum() / max(1, (size**2).sum())]), sure, 1 - sure)
+    pairs = _Pairs(np.packbits(bits[:, :n1], axis=1), np.packbits(bits[:, n1:], axis=1), own, overall, alone[some], least)
+    blocks = [(i, j) for i in range(0, len(some), _BLOCK) for j in range(0, i + 1, _BLOCK)]
+    if spark and len(blocks) > 1:
+        shared = spark.sparkContext.broadcast(pairs)  # a bit for each term and row of a bounded sample
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for i, j in zip(pdf["i"].tolist(), pdf["j"].tolist(), strict=True):
+                    yield pd.DataFrame({"term": shared.value.beyond(i, j)})
+
+        dealt = spark.createDataFrame(blocks, "i int, j int").repartition(len(blocks), "i", "j")
+        found = np.array([r["term"] for r in dealt.mapInPandas(run, "term long").distinct().collect()], np.int64)
+    else:
+        found = np.concatenate([np.empty(0, np.int64), *(pairs.beyond(i, j) for i, j in blocks)])
+    out = np.zeros(n_terms, bool)
+    out[some[found]] = True
+    return out & ~alone
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair_rows: int = PAIR_ROWS) -> Model:
     """Fits the machine on (doc_id, text) and (doc_id, toxic)."""
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))  # bounded by train_rows
-    schema = pa.schema([("toxic", pa.int32()), ("buckets", pa.binary())])
+    schema = pa.schema([("toxic", pa.int32()), ("doc_id", pa.int64()), ("buckets", pa.binary()), ("words", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in words.pieces(batch):
                 bucket, row = _terms(data, offsets)
-                key = words.distinct(row * BUCKETS + bucket.astype(np.int64))
-                row, bucket = np.divmod(key, BUCKETS)
-                first = np.searchsorted(row, np.arange(len(offsets)))
-                bucket = bucket.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(2), pa.array([bucket[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], schema=schema)
+                columns = []
+                for some in (slice(None), slice(len(bucket) // (1 + len(_STEM_BYTES)))):  # whole words come first
+                    key = words.distinct(row[some] * BUCKETS + bucket[some].astype(np.int64))
+                    of_row, distinct = np.divmod(key, BUCKETS)
+                    first = np.searchsorted(of_row, np.arange(len(offsets)))
+                    distinct = distinct.astype(np.int32)
+                    columns.append(pa.array([distinct[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), *columns], schema=schema)
 
-    seen = stored(docs.join(sample, "doc_id").select("doc_id", "text", "toxic").mapInArrow(extract, "toxic int, buckets binary"), "terms")
+    seen = stored(docs.join(sample, "doc_id").select("doc_id", "text", "toxic").mapInArrow(extract, "toxic int, doc_id long, buckets binary, words binary"), "terms")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
@@ -224,30 +234,44 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
         return Model(place, float(np.clip(np.log((share + 1e-12) / (1 - share + 1e-12)), -30, 30)), np.zeros(1), np.zeros((1, FACTORS)))
-    by_bucket = seen.mapInPandas(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    by_bucket = seen.select("toxic", "buckets").mapInPandas(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     # the square of z in a test that both labels have the term equally often
     both = (F.col("c") + F.col("t")) / (n0 + n1)
     gap = F.col("t") / n1 - F.col("c") / n0
-    best = by_bucket.where("c + t >= 3").select("bucket", "c", "t", (gap * gap / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)).alias("z2")).toPandas()  # at most BUCKETS
-    best = best.sort_values(["z2", "bucket"], ascending=[False, True])
-    place[best["bucket"].to_numpy()] = np.arange(len(best))
-    alone = best["z2"].to_numpy() >= LEAST_Z2
+    z2 = gap * gap / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
+    alone = by_bucket.where((F.col("c") + F.col("t") >= 3) & (z2 >= LEAST_Z2)).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
+
+    # the pairs: half of the rows toxic if there are as many
+    of_toxic = min(n1, max(pair_rows // 2, pair_rows - n0))
+    some = [(kind, seen.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(m)) for kind, m in ((1, of_toxic), (0, pair_rows - of_toxic))]
+    rows = [(kind, np.frombuffer(r["words"], np.int32)) for kind, part in some for r in part.select("words").toLocalIterator()]  # at most pair_rows
+    label = np.array([r[0] for r in rows], float)
+    times = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+    for kind, r in rows:
+        times[kind][r] += 1
+    is_alone = np.zeros(BUCKETS, bool)
+    is_alone[alone] = True
+    met = np.flatnonzero((times[0] + times[1] >= 3))
+    index = np.full(BUCKETS, -1, np.int32)
+    index[met] = np.arange(len(met))
+    parts = [index[r][index[r] >= 0] for _, r in rows]
+    in_pairs = met[_paired(parts, label, times[0][met].astype(float), times[1][met].astype(float), is_alone[met], spark)]
+    del rows, parts, times
+
+    chosen = np.union1d(alone, in_pairs)
+    place[chosen] = np.arange(len(chosen))
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [place[np.frombuffer(b, np.int32)] for b in pdf["buckets"]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [r[r >= 0].tobytes() for r in rows]})
 
-    # at most train_rows rows; one part at a time passes through the driver's JVM
-    rows = sorted(((r["toxic"], bytes(r["terms"])) for r in seen.mapInPandas(project, "toxic int, terms binary").toLocalIterator()), key=lambda r: (-r[0], r[1]))
+    # at most train_rows rows of chosen terms; one part at a time passes through the driver's JVM
+    rows = sorted(((r["toxic"], bytes(r["terms"])) for r in seen.select("toxic", "buckets").mapInPandas(project, "toxic int, terms binary").toLocalIterator()), key=lambda r: (-r[0], r[1]))
     label = np.array([r[0] for r in rows], float)
     parts = [np.frombuffer(r[1], np.int32) for r in rows]
-    chosen = alone | _paired(parts, label, best["c"].to_numpy(float), best["t"].to_numpy(float), alone)
-    number = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
-    parts = [number[p[chosen[p]]] for p in parts]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    place = np.where(place >= 0, np.append(number, -1)[place], -1).astype(np.int32)
-    return Model(place, *_fit(np.concatenate(parts), first, label, max(1, int(chosen.sum()))))
+    return Model(place, *_fit(np.concatenate(parts), first, label, max(1, len(chosen))))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
