@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: From very negative to very positive; polarization from low to high; the grid of both.
-NET = ("#cc503e", "#e17c05", "#bab0ac", "#73af48", "#0f8554")
-POLAR = ("#bcbddc", "#9e9ac8", "#6a51a3")
-STORY = {("negative", "low"): "#e17c05", ("negative", "high"): "#cc503e", ("neutral", "low"): "#bab0ac", ("neutral", "high"): "#6a51a3", ("positive", "low"): "#73af48", ("positive", "high"): "#0f8554"}
+#: From very negative to very positive; polarization from low to high; and for low
+#: and high polarization, from negative over neutral to positive.
+NET = ("#ff0000", "#ff7f7f", "#f0f0f0", "#009dff", "#0000ff")
+POLAR = ("#000000", "#ca79fc", "#8000ff")
+STORY_LOW = ("#ff8000", "#808080", "#00cc22")
+STORY_HIGH = ("#ff0000", "#8000ff", "#0000ff")
 
 
 def net_value(positive: Column, neutral: Column, negative: Column) -> Column:
-    """Positive less negative share, pulled to zero by half of the neutral share."""
-    net = positive - negative
+    """Positive less negative share, each pulled to zero by half of the neutral share."""
     damp = neutral * 0.5
-    return F.when(net > 0, F.greatest(F.lit(0.0), net - damp)).otherwise(F.least(F.lit(0.0), net + damp))
+    return (positive - F.least(positive, damp)) - (negative - F.least(negative, damp))
 
 
 def net_color(value: Column) -> Column:
@@ -32,11 +33,11 @@ def polar_color(value: Column) -> Column:
 
 
 def story_color(net: Column, polar: Column) -> Column:
-    side = F.when(net <= -0.25, "negative").when(net >= 0.25, "positive").otherwise("neutral")
-    out = F.lit(None).cast("string")
-    for (a, b), color in STORY.items():
-        out = F.when((side == a) & (F.when(polar >= 0.5, "high").otherwise("low") == b), color).otherwise(out)
-    return out
+    """By polarization and the plain net share: three sides where polarization is low, two where it
+    is middling, and one colour where it is high."""
+    low = F.when(net < -0.25, STORY_LOW[0]).when(net <= 0.25, STORY_LOW[1]).otherwise(STORY_LOW[2])
+    middle = F.when(net > 0, STORY_HIGH[2]).otherwise(STORY_HIGH[0])
+    return F.when(polar < 0.40, low).when(polar < 0.80, middle).otherwise(STORY_HIGH[1])
 
 
 def net_score(positive: Column, negative: Column) -> Column:

@@ -7,18 +7,22 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Accepted date formats (fixed values).
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MM/dd/yy")
+#: Accepted date formats (fixed values); seconds may have one to six decimals.
+FORMATS = ("yyyy-M-d'T'H:m:s'Z'", *(f"yyyy-M-d'T'H:m:s.{'S' * n}'Z'" for n in range(1, 7)), "yyyy-M-d", "M/d/yyyy", "M/d/yy", "M/d/yy H:m")
 
 
 def parsed(text: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """The timestamp of a text in one of the formats, or null."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats))
+    """The timestamp of a text in one of the formats, or null. Years of two digits are 1969 to 2068."""
+    found = []
+    for f in formats:
+        at = F.try_to_timestamp(text, F.lit(f))
+        found.append(at if "yyyy" in f else F.when(F.year(at) >= 2069, at - F.expr("interval 100 years")).otherwise(at))
+    return F.coalesce(*found)
 
 
 def epoch(text: Column) -> Column:
     """Seconds since 1970; plain numbers pass through."""
-    return F.coalesce(F.expr("try_cast(null as double)"), text.try_cast("double"), F.unix_timestamp(parsed(text)).cast("double"))
+    return F.coalesce(text.try_cast("double"), F.unix_timestamp(parsed(text)).cast("double"))
 
 
 def formatted(seconds: Column, pattern: str = "yyyy-MM-dd") -> Column:

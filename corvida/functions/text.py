@@ -90,11 +90,19 @@ def spreadsheet_index(letters: Column) -> Column:
     return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0), lambda acc, c: acc * 26 + c) - 1
 
 
-def emotion_of(text: Column, lexicons: list[tuple[str, list[str]]]) -> Column:
-    """The first list of which exactly one entry occurs in the text, ignoring case."""
-    low = F.lower(text)
-    out = F.lit(None).cast("string")
+#: The emotions by strength, and the blends of two.
+EMOTIONS = (
+    ("Emotion 1", ("A:Ecstasy", "B:Admiration", "C:Terror", "D:Amazement", "E:Grief", "F:Loathing", "G:Rage", "H:Vigilance")),
+    ("Emotion 2", ("A:Joy", "B:Trust", "C:Fear", "D:Surprise", "E:Sadness", "F:Disgust", "G:Anger", "H:Anticipation")),
+    ("Emotion 3", ("A:Serenity", "B:Acceptance", "C:Apprehension", "D:Distraction", "E:Pensiveness", "F:Boredom", "G:Annoyance", "H:Interest")),
+    ("Emotion 4", ("Love", "Submission", "Awe", "Disapproval", "Remorse", "Contempt", "Aggressiveness", "Optimism")),
+)
+
+
+def emotion_of(word: Column, lexicons=EMOTIONS) -> Column:
+    """(list, entry) of the first list in which exactly one entry holds the word, ignoring case; else null."""
+    out = F.lit(None).cast("struct<list:string,entry:string>")
     for name, entries in reversed(lexicons):
-        hits = sum((low.contains(e.lower()).cast("int") for e in entries), F.lit(0))
-        out = F.when(hits == 1, name).otherwise(out)
+        hits = F.filter(F.array(*map(F.lit, entries)), lambda e: F.contains(F.lower(e), F.lower(word)))
+        out = F.when(F.size(hits) == 1, F.struct(F.lit(name).alias("list"), F.get(hits, F.lit(0)).alias("entry"))).otherwise(out)
     return out

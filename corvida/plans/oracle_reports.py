@@ -126,11 +126,11 @@ _BODIES = {
       FROM (SELECT concept, count(DISTINCT CASE WHEN exact = 1 THEN doc_id END) AS exact_match_count FROM found GROUP BY 1) v
       LEFT JOIN (SELECT concept, doc_id, row_number() OVER (PARTITION BY concept ORDER BY total_price DESC, doc_id) AS rn FROM found JOIN docs USING (doc_id) WHERE exact = 1) e ON e.concept = v.concept AND rn <= 3
       GROUP BY v.concept, exact_match_count""",
-    "doc_count_by_filter": """SELECT list, field, value, doc_count, round(doc_count / value_count, 6) AS fraction
-      FROM (SELECT list, field, value, count(DISTINCT doc_id) AS doc_count FROM listed JOIN subsets USING (doc_id) GROUP BY ALL)
-      JOIN (SELECT field, value, count(DISTINCT doc_id) AS value_count FROM subsets GROUP BY ALL) USING (field, value)
-      WHERE field IN (SELECT field FROM subsets GROUP BY 1 HAVING count(DISTINCT value) < 20)
-      UNION ALL SELECT list, '_ALL_', '_ALL_', count(DISTINCT doc_id), 1.0::DOUBLE FROM listed GROUP BY 1""",
+    "doc_count_by_filter": """SELECT * FROM (WITH v AS (SELECT field, value, count(DISTINCT doc_id) AS value_count FROM subsets WHERE field IN (SELECT field FROM subsets GROUP BY 1 HAVING count(DISTINCT value) < 20) GROUP BY 1, 2)
+      SELECT list, field, value, concept, coalesce(c, 0) AS count, round(coalesce(c, 0) / value_count, 6) AS field_value_percent
+      FROM (SELECT DISTINCT list, concept FROM lt) CROSS JOIN v
+      LEFT JOIN (SELECT list, concept, field, value, count(DISTINCT doc_id) AS c FROM listed JOIN subsets USING (doc_id) GROUP BY ALL) USING (list, concept, field, value)
+      UNION ALL SELECT list, field, value, '_ALL_', value_count, 100.0::DOUBLE FROM (SELECT DISTINCT list FROM lt) CROSS JOIN v)""",
 }
 
 BASE = _BASE

@@ -163,14 +163,18 @@ def example_docs_top3(r: Reports) -> DataFrame:
 
 
 def doc_count_by_filter(r: Reports) -> DataFrame:
-    """Documents with a concept of each list by field value, and the share of the value's documents; _ALL_ over all."""
-    hits = r.listed().select("doc_id", "list").distinct()
+    """For each list and field value, the documents with each concept of the list and their share
+    of the value's documents, 0 for those without any; _ALL_ has the value's documents and 100."""
     values = r.subsets.groupBy(*SUBSET).agg(F.count_distinct("doc_id").alias("value_count"))
     few = values.groupBy("field").agg(F.count(F.lit(1)).alias("n")).where("n < 20").select("field")
-    rows = hits.join(r.subsets.join(few, "field", "left_semi"), "doc_id").groupBy("list", *SUBSET).agg(F.count_distinct("doc_id").alias("doc_count"))
-    rows = rows.join(values, list(SUBSET)).select("list", *SUBSET, "doc_count", F.round(F.try_divide("doc_count", "value_count"), 6).alias("fraction"))
-    every = hits.groupBy("list").agg(F.count_distinct("doc_id").alias("doc_count"))
-    return rows.unionByName(every.select("list", F.lit("_ALL_").alias("field"), F.lit("_ALL_").alias("value"), "doc_count", F.lit(1.0).alias("fraction")))
+    values = values.join(few, "field", "left_semi")
+    concepts = r.star.list_terms().select("list", "concept").distinct()
+    hits = r.listed().select("doc_id", "list", "concept").distinct().join(r.subsets, "doc_id").groupBy("list", "concept", *SUBSET).agg(F.count_distinct("doc_id").alias("count"))
+    # every concept of the lists with every value of the few fields: less than 20 values a field
+    rows = concepts.crossJoin(F.broadcast(values)).join(hits, ["list", "concept", *SUBSET], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    rows = rows.select("list", *SUBSET, "concept", "count", F.round(F.col("count") / F.col("value_count"), 6).alias("field_value_percent"))
+    every = concepts.select("list").distinct().crossJoin(F.broadcast(values))
+    return rows.unionByName(every.select("list", *SUBSET, F.lit("_ALL_").alias("concept"), F.col("value_count").alias("count"), F.lit(100.0).alias("field_value_percent")))
 
 
 REPORTS: dict[str, Callable[[Reports], DataFrame]] = {

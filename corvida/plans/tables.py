@@ -97,10 +97,11 @@ def best_subset_fields(r: Reports) -> DataFrame:
 
 
 @query("""SELECT name, value, length(value) < 64 AS kept, max(length(value)) OVER (PARTITION BY name) <= 64 AS field_kept
-    FROM (SELECT 'url' AS name, url AS value FROM pages UNION ALL SELECT 'first' , substr(text, 1, 64) FROM documents)""", base=False)
+    FROM (SELECT 'url' AS name, url AS value FROM pages UNION ALL SELECT 'text', text FROM documents UNION ALL SELECT 'source', source FROM documents)""", base=False)
 def value_length_guard(r: Reports) -> DataFrame:
     """Values shorter than 64 characters; fields without any longer than 64."""
-    rows = r.star.table("pages").select(F.lit("url").alias("name"), F.col("url").alias("value")).union(r.star.table("documents").select(F.lit("first"), F.substring("text", 1, 64)))
+    docs = r.star.table("documents")
+    rows = r.star.table("pages").select(F.lit("url").alias("name"), F.col("url").alias("value")).union(docs.select(F.lit("text"), "text")).union(docs.select(F.lit("source"), "source"))
     longest = rows.groupBy("name").agg(F.max(F.length("value")).alias("most"))
     return rows.join(F.broadcast(longest), "name").select("name", "value", (F.length("value") < 64).alias("kept"), (F.col("most") <= 64).alias("field_kept"))  # a row for each field
 
@@ -119,10 +120,10 @@ def doc_term_summary(r: Reports) -> DataFrame:
     return top.select(columns).unionByName(lists.select(columns))
 
 
-@query("""SELECT doc_id, term, pos, sentiment, confidence, list, concept FROM t LEFT JOIN (SELECT * FROM lt WHERE list < 'P') l USING (term)""")
+@query("""SELECT doc_id, term, pos, sentiment, confidence, list, concept FROM t LEFT JOIN lt USING (term)""")
 def doc_term_sentiment(r: Reports) -> DataFrame:
     """Every occurrence, with each list and concept it belongs to, or none."""
-    lists = r.star.list_terms().where("list < 'P'").drop("exact")
+    lists = r.star.list_terms().drop("exact")
     return r.terms.join(lists, "term", "left").select("doc_id", "term", "pos", "sentiment", "confidence", "list", "concept")
 
 
@@ -140,19 +141,20 @@ def term_sentiment_mixed(r: Reports) -> DataFrame:
 
 
 @query("""SELECT doc_id, p AS positive_count, u AS neutral_count, n AS negative_count, round(sp, 6) AS positive_sum, round(su, 6) AS neutral_sum, round(sn, 6) AS negative_sum,
-      round(sp / nullif(p, 0), 6) AS positive_average, round(sn / nullif(n, 0), 6) AS negative_average,
-      ((p + n) * (p - n))::DOUBLE AS net, round((p + n) * least(p, n) / CASE WHEN greatest(p, n) <= 0 THEN 1 ELSE greatest(p, n) END, 6) AS polarization
-    FROM (SELECT doc_id, count(*) FILTER (sentiment = 'positive') AS p, count(*) FILTER (sentiment = 'neutral') AS u, count(*) FILTER (sentiment = 'negative') AS n,
+      round(ap, 6) AS positive_average, round(an, 6) AS negative_average,
+      round((ap + an) * (ap - an), 6) AS net, round((ap + an) * least(ap, an) / CASE WHEN greatest(ap, an) <= 0 THEN 1 ELSE greatest(ap, an) END, 6) AS polarization
+    FROM (SELECT *, sp / (sp + su + sn) AS ap, sn / (sp + su + sn) AS an FROM (SELECT doc_id, count(*) FILTER (sentiment = 'positive') AS p, count(*) FILTER (sentiment = 'neutral') AS u, count(*) FILTER (sentiment = 'negative') AS n,
       coalesce(sum(confidence) FILTER (sentiment = 'positive'), 0) AS sp, coalesce(sum(confidence) FILTER (sentiment = 'neutral'), 0) AS su, coalesce(sum(confidence) FILTER (sentiment = 'negative'), 0) AS sn
-      FROM t GROUP BY 1)""")
+      FROM t GROUP BY 1) WHERE sp + su + sn > 0)""")
 def doc_sentiment_metrics(r: Reports) -> DataFrame:
+    """Averages are a side's share of all confidence; net and polarization come from them. Documents without any confidence have no row."""
     kinds = ("positive", "neutral", "negative")
     counts = [F.count_if(F.col("sentiment") == k).alias(f"{k}_count") for k in kinds]
-    sums = [F.round(F.coalesce(F.sum(F.when(F.col("sentiment") == k, F.col("confidence"))), F.lit(0.0)), 6).alias(f"{k}_sum") for k in kinds]
-    rows = r.terms.groupBy("doc_id").agg(*counts, *sums)
-    p, n = F.col("positive_count").cast("double"), F.col("negative_count").cast("double")
-    average = [F.round(F.try_divide(f"{k}_sum", f"{k}_count"), 6).alias(f"{k}_average") for k in ("positive", "negative")]
-    return rows.select("*", *average, colors.net_score(p, n).alias("net"), F.round(colors.polar_score(p, n), 6).alias("polarization"))
+    sums = [F.coalesce(F.sum(F.when(F.col("sentiment") == k, F.col("confidence"))), F.lit(0.0)).alias(f"{k}_sum") for k in kinds]
+    rows = r.terms.groupBy("doc_id").agg(*counts, *sums).withColumn("total", F.col("positive_sum") + F.col("neutral_sum") + F.col("negative_sum")).where("total > 0")
+    p, n = F.col("positive_sum") / F.col("total"), F.col("negative_sum") / F.col("total")
+    six = {f"{k}_sum": F.col(f"{k}_sum") for k in kinds} | {"positive_average": p, "negative_average": n, "net": colors.net_score(p, n), "polarization": colors.polar_score(p, n)}
+    return rows.select("doc_id", *(f"{k}_count" for k in kinds), *(F.round(c, 6).alias(name) for name, c in six.items()))
 
 
 def _shares(r: Reports) -> DataFrame:
@@ -161,27 +163,27 @@ def _shares(r: Reports) -> DataFrame:
 
 _SHARES = """(SELECT field, value, concept, round(count(*) FILTER (sentiment = 'positive') / count(*), 6) AS p, round(count(*) FILTER (sentiment = 'neutral') / count(*), 6) AS u,
     round(count(*) FILTER (sentiment = 'negative') / count(*), 6) AS n FROM senti JOIN subsets USING (doc_id) GROUP BY ALL)"""
-_NET = "CASE WHEN p - n > 0 THEN greatest(0, p - n - u * 0.5) ELSE least(0, p - n + u * 0.5) END"
+_NET = "((p - least(p, u * 0.5)) - (n - least(n, u * 0.5)))"
 
 
-@query(f"""SELECT field, value, concept, round(v, 6) AS net, ['#cc503e', '#e17c05', '#bab0ac', '#73af48', '#0f8554'][round_even((v + 1) * 2, 0)::INT + 1] AS color
+@query(f"""SELECT field, value, concept, round(v, 6) AS net, ['#ff0000', '#ff7f7f', '#f0f0f0', '#009dff', '#0000ff'][round_even((v + 1) * 2, 0)::INT + 1] AS color
     FROM (SELECT *, {_NET} AS v FROM {_SHARES})""")
 def sentiment_colors_net(r: Reports) -> DataFrame:
     net = colors.net_value(F.col("positive_share"), F.col("neutral_share"), F.col("negative_share"))
     return _shares(r).select("field", "value", "concept", F.round(net, 6).alias("net"), colors.net_color(net).alias("color"))
 
 
-@query(f"""SELECT field, value, concept, round(2 * least(p, n), 6) AS polarization, CASE WHEN 2 * least(p, n) < 0.40 THEN '#bcbddc' WHEN 2 * least(p, n) < 0.80 THEN '#9e9ac8' ELSE '#6a51a3' END AS color FROM {_SHARES}""")
+@query(f"""SELECT field, value, concept, round(2 * least(p, n), 6) AS polarization, CASE WHEN 2 * least(p, n) < 0.40 THEN '#000000' WHEN 2 * least(p, n) < 0.80 THEN '#ca79fc' ELSE '#8000ff' END AS color FROM {_SHARES}""")
 def sentiment_colors_polar(r: Reports) -> DataFrame:
     value = colors.polarization(F.col("positive_share"), F.col("negative_share"))
     return _shares(r).select("field", "value", "concept", F.round(value, 6).alias("polarization"), colors.polar_color(value).alias("color"))
 
 
-@query(f"""SELECT field, value, concept, CASE WHEN v <= -0.25 THEN CASE WHEN o >= 0.5 THEN '#cc503e' ELSE '#e17c05' END WHEN v >= 0.25 THEN CASE WHEN o >= 0.5 THEN '#0f8554' ELSE '#73af48' END
-      ELSE CASE WHEN o >= 0.5 THEN '#6a51a3' ELSE '#bab0ac' END END AS color FROM (SELECT *, {_NET} AS v, 2 * least(p, n) AS o FROM {_SHARES})""")
+@query(f"""SELECT field, value, concept, CASE WHEN o >= 0.80 THEN '#8000ff' WHEN o >= 0.40 THEN CASE WHEN p > n THEN '#0000ff' ELSE '#ff0000' END
+      WHEN p - n < -0.25 THEN '#ff8000' WHEN p - n <= 0.25 THEN '#808080' ELSE '#00cc22' END AS color FROM (SELECT *, 2 * least(p, n) AS o FROM {_SHARES})""")
 def sentiment_colors_story(r: Reports) -> DataFrame:
-    p, u, n = (F.col(f"{k}_share") for k in ("positive", "neutral", "negative"))
-    return _shares(r).select("field", "value", "concept", colors.story_color(colors.net_value(p, u, n), colors.polarization(p, n)).alias("color"))
+    p, n = F.col("positive_share"), F.col("negative_share")
+    return _shares(r).select("field", "value", "concept", colors.story_color(p - n, colors.polarization(p, n)).alias("color"))
 
 
 @query("""SELECT doc_id, coalesce(string_agg(CASE WHEN exact = 1 THEN concept END, '|' ORDER BY concept), '') AS exact_topics, coalesce(string_agg(CASE WHEN exact = 0 THEN concept END, '|' ORDER BY concept), '') AS conceptual_topics
@@ -195,14 +197,15 @@ def topic_labels(r: Reports) -> DataFrame:
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query("SELECT doc_id, " + ", ".join(f"max(CASE WHEN list = '{x}' AND concept <= 'Brand#2' THEN 1 ELSE 0 END) AS exact_{i}, max(CASE WHEN list = '{x}' AND concept > 'Brand#2' THEN 1 ELSE 0 END) AS conceptual_{i}" for i, x in enumerate(("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))) + " FROM listed GROUP BY 1")
+@query("SELECT doc_id, " + ", ".join(f"max(CASE WHEN list = '{x}' AND exact = 1 THEN 1 ELSE 0 END) AS exact_{i}, max(CASE WHEN list = '{x}' AND exact = 0 THEN 1 ELSE 0 END) AS conceptual_{i}" for i, x in enumerate(("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))) + " FROM found JOIN (SELECT DISTINCT p_name AS concept, p_type AS list FROM part) USING (concept) GROUP BY 1")
 def topic_matrix(r: Reports) -> DataFrame:
     """A block of columns for exact topics and one for conceptual ones."""
-    rows = r.listed().select("doc_id", "list", "concept")
+    lists = r.star.table("part").select(F.col("p_name").alias("concept"), F.col("p_type").alias("list")).distinct()
+    rows = r.found.join(lists, "concept")
     columns = []
     for i, x in enumerate(("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")):
         hit = F.col("list") == x
-        columns += [F.max((hit & (F.col("concept") <= "Brand#2")).cast("int")).alias(f"exact_{i}"), F.max((hit & (F.col("concept") > "Brand#2")).cast("int")).alias(f"conceptual_{i}")]
+        columns += [F.max((hit & (F.col("exact") == 1)).cast("int")).alias(f"exact_{i}"), F.max((hit & (F.col("exact") == 0)).cast("int")).alias(f"conceptual_{i}")]
     return rows.groupBy("doc_id").agg(*columns)
 
 
@@ -292,11 +295,16 @@ def capitalize(r: Reports) -> DataFrame:
     return r.star.table("part").select("p_partkey", text.capitalised(F.col("p_name")).alias("name"))
 
 
-@query("""SELECT id, CASE WHEN contains(l, 'joy')::INT + contains(l, 'happy')::INT = 1 THEN 'joy' WHEN contains(l, 'fear')::INT + contains(l, 'afraid')::INT = 1 THEN 'fear' END AS emotion
-    FROM (SELECT id, lower(x) AS l FROM (VALUES (1, 'Such Joy'), (2, 'joy and happy'), (3, 'AFRAID'), (4, 'happy, in fear'), (5, 'nothing')) v(id, x))""", base=False)
+_EMOTION_SQL = ", ".join(f"({k}, '{name}', '{entry}')" for k, (name, entries) in enumerate(text.EMOTIONS) for entry in entries)
+
+
+@query(f"""SELECT word, min_by(list, k) AS list, min_by(entry, k) AS entry FROM
+    (SELECT word, k, list, min(entry) AS entry FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) JOIN (VALUES {_EMOTION_SQL}) v(k, list, entry) ON contains(lower(entry), word)
+     GROUP BY ALL HAVING count(*) = 1) GROUP BY 1""", base=False)
 def emotion_placement(r: Reports) -> DataFrame:
-    rows = r.spark.createDataFrame([(1, "Such Joy"), (2, "joy and happy"), (3, "AFRAID"), (4, "happy, in fear"), (5, "nothing")], "id int, x string")
-    return rows.select("id", text.emotion_of(F.col("x"), [("joy", ["joy", "happy"]), ("fear", ["fear", "afraid"])]).alias("emotion"))
+    """The distinct words of all documents that name one emotion, with its list and entry."""
+    words = r.star.table("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.withColumn("at", text.emotion_of(F.col("word"))).where("at is not null").select("word", "at.list", "at.entry")
 
 
 # -- dates ------------------------------------------------------------------------------------

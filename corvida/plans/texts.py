@@ -274,7 +274,7 @@ def typed_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written as typed CSV and read back as documents."""
     path = scratch_path(ready(spark), "typed")
     rows = _table(spark, sf_dir, "conversations").select("text", F.col("role").alias("string_role"), F.col("turn").alias("number_turn"), (F.col("conv_id") * 1000 + F.col("turn")).alias("number_id"))
-    rows.coalesce(1).write.csv(path, header=True, escape='"')
+    rows.write.csv(path, header=True, escape='"')
     docs = files.typed_csv(spark, path)
     value = lambda n: F.get(F.filter("metadata", lambda e: e["name"] == n), F.lit(0))["value"]
     return docs.select(value("id").cast("double").cast("long").alias("id"), "text", value("role").alias("role"), value("turn").cast("double").alias("turn"))

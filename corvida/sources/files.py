@@ -19,11 +19,11 @@ def _header(spark: SparkSession, path: str, rows: int = 1) -> list[list[str]]:
     return [[(x or "").lstrip("﻿") for x in row] for row in first]
 
 
-def _body(spark: SparkSession, path: str, skip: int) -> DataFrame:
-    """All lines but the first ``skip``, as columns c0, c1, ... and the line's number."""
-    df = spark.read.csv(path, header=False, multiLine=True, inferSchema=False)
-    df = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)), F.monotonically_increasing_id().alias("line"))
-    return df.where(F.col("line") >= skip)
+def _body(spark: SparkSession, path: str, skip: int, columns: int) -> DataFrame:
+    """All lines but the header of each file and ``skip`` - 1 more of the first, as columns c0, c1, ... and the line's number."""
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, enforceSchema=True)
+    return df.select("*", (F.monotonically_increasing_id() + 1).alias("line")).where(F.col("line") >= skip)
 
 
 def _entries(kind: str, name: str, value: Column) -> Column:
@@ -52,7 +52,7 @@ def typed_csv(spark: SparkSession, path: str, offset: int = 0, max_text: int = 0
     metadata = F.concat(*entries) if entries else F.array().cast(METADATA)
     text = F.substring(at["text"], 1, max_text) if max_text else at["text"]
     title = F.substring(at["title"], 1, TITLE) if "title" in at else F.lit("")
-    rows = _body(spark, path, 1 + offset).where(F.trim(at["text"]) != "")
+    rows = _body(spark, path, 1 + offset, len(header)).where(F.trim(at["text"]) != "")
     out = rows.select((F.col("line") - 1).alias("doc_id"), text.alias("text"), F.coalesce(title, F.lit("")).alias("title"), metadata.alias("metadata"))
     for part in (keep or "").split("|"):
         if part:
@@ -70,13 +70,15 @@ def survey_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Each text column becomes a document of its own, with the question as metadata."""
     types, names = _header(spark, path, 2)
-    rows = _body(spark, path, 2)
+    rows = _body(spark, path, 2, len(types))
     kinds = [[k.strip().lower() for k in t.split("&")] for t in types]
     titles = [F.col(f"c{i}") for i, k in enumerate(kinds) if "title" in k]
     entries = [_entries(k, names[i], F.col(f"c{i}")) for i, ks in enumerate(kinds) for k in ks if k in TYPES]
     metadata = F.concat(*entries) if entries else F.array().cast(METADATA)
     answers = F.array(*(F.struct(F.lit(names[i]).alias("question"), F.col(f"c{i}").alias("text")) for i, k in enumerate(kinds) if "text" in k))
-    rows = rows.select((F.col("line") - 2).alias("row"), F.substring(F.concat_ws("_", *titles), 1, TITLE).alias("title"), metadata.alias("metadata"), F.explode(answers).alias("a"))
+    # a select of its own: beside an explode the names of struct fields are lost
+    rows = rows.select((F.col("line") - 2).alias("row"), F.substring(F.concat_ws("_", *titles), 1, TITLE).alias("title"), metadata.alias("metadata"), answers.alias("answers"))
+    rows = rows.select("row", "title", "metadata", F.explode("answers").alias("a"))
     question = F.array(F.struct(F.lit("Question").alias("name"), F.lit("string").alias("type"), F.col("a.question").alias("value")))
     return rows.where(F.trim("a.text") != "").select("row", "title", F.col("a.text").alias("text"), F.concat("metadata", question).alias("metadata"))
 

@@ -50,23 +50,29 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "n")
 
 
-def retained(events: DataFrame, keep: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """A table that each batch of a stream is added to, cut by ``keep`` each time. Batches write
-    a new version, so one that runs again after a failure gives the same table."""
-    spark, path = events.sparkSession, scratch_path(events.sparkSession, name)
-    last: dict[str, str] = {}
+def _version(spark: SparkSession, path: str, below: int) -> str | None:
+    """The newest finished version of a table under that number; what is in the folder decides, not this process."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+    done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and int(n[1:]) < below and system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return f"{path}/v{max(done)}" if done else None
+
+
+def retained(events: DataFrame, keep: Callable[[DataFrame], DataFrame], name: str, path: str | None = None) -> DataFrame:
+    """A table that each batch of a stream is added to, cut by ``keep`` each time. Batch n makes
+    version n out of the newest version before it, so one that runs again after a failure gives
+    the same table, and a stream started again on the same ``path`` goes on with what it had."""
+    spark, path = events.sparkSession, path or scratch_path(events.sparkSession, name)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number and f"{path}/v{number - 1}" in last.values():
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(batch)
+        before = _version(batch.sparkSession, path, number)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(before).unionByName(batch) if before else batch
         keep(rows).write.mode("overwrite").parquet(f"{path}/v{number}")
-        last["path"] = f"{path}/v{number}"
 
     _run(events, lambda w: w.foreachBatch(merge).start(), path)
-    if not last:
-        return spark.createDataFrame([], events.schema)
-    return spark.read.schema(events.schema).parquet(last["path"])
+    last = _version(spark, path, 1 << 62)
+    return spark.read.schema(events.schema).parquet(last) if last else spark.createDataFrame([], events.schema)
 
 
 def latest(n: int = KEEP) -> Callable[[DataFrame], DataFrame]:
