@@ -8,7 +8,8 @@ the fewest bytes. The flow has a node for each shard, however many rows there ar
 Each old shard's files, one after another, are then cut into the runs of bytes that the flow
 asks for. A file that lies in a run that stays is not touched. Files that move are read and
 written to their new shard as they are; only the few files that a cut goes through (less
-than old plus new shards) are split by rows. Nothing is sorted or shuffled but those.
+than old plus new shards) are split by rows. Nothing is sorted or shuffled but those. Their
+smallest rows then even out what long rows at the cuts have left uneven.
 
 A row's slot is its place in its file plus the rows in its shard's files before it.
 
@@ -103,6 +104,32 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_FILES else df
 
 
+def _evened(cut: DataFrame, plan: DataFrame, capacities: list[int]) -> DataFrame:
+    """A long row at a cut goes to one side whole, so shards miss their capacities by up to such a
+    row. The smallest rows of the files that are split anyway make up for it: a second flow says how
+    many bytes go from shards over their capacity to those under it."""
+    has = [0] * len(capacities)
+    whole = plan.where("new_shard is not null").groupBy(F.col("new_shard").alias("shard")).agg(F.sum("bytes").alias("b"))
+    for r in whole.union(cut.groupBy("shard").agg(F.sum("size"))).collect():  # two rows a shard at most
+        has[r["shard"]] += r["b"]
+    over = [max(0, h - c) for h, c in zip(has, capacities, strict=True)]
+    under = [max(0, c - h) for h, c in zip(has, capacities, strict=True)]
+    if sum(over) > sum(under):
+        return cut.select("doc", "size", "shard")
+    runs = []
+    for i, row in enumerate(min_cost_flow(over, under, [[1] * len(capacities)] * len(capacities))):
+        at = 0
+        for j, amount in enumerate(row):
+            if amount:
+                runs.append((i, at, at + amount, j))
+                at += amount
+    runs = F.broadcast(cut.sparkSession.createDataFrame(runs, "shard int, low long, high long, new_shard int"))  # a pair of shards a row
+    # a number of files of a bounded number of rows
+    end = F.sum("size").over(Window.partitionBy("shard").orderBy("size", "file", "place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut.withColumn("end", end).join(runs.withColumnRenamed("shard", "of"), (F.col("of") == F.col("shard")) & (F.col("end") - F.col("size") >= F.col("low")) & (F.col("end") <= F.col("high")), "left")
+    return rows.select("doc", "size", F.coalesce("new_shard", "shard").alias("shard"))
+
+
 def reshard(store: Store, capacities: list[int] | None = None, shards: int = SHARDS, cost: list[list[int]] | None = None, path: str | None = None) -> DataFrame:
     """Moves rows between shards and returns all rows of the new store: doc, size, shard, slot, moved.
 
@@ -137,7 +164,8 @@ def reshard(store: Store, capacities: list[int] | None = None, shards: int = SHA
     inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.drop("shard").join(F.broadcast(split.select("shard", "file", "start")), "file")  # fewer files than there are shards
     cut = cut.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut = cut.join(F.broadcast(runs), "shard").where("low <= at and at < high").select("doc", "size", F.col("new_shard").alias("shard"))
+    cut = cut.join(F.broadcast(runs), "shard").where("low <= at and at < high").select("doc", "size", F.col("new_shard").alias("shard"), "file", "place")
+    cut = _evened(stored(cut, "cut"), plan, capacities)
     new = path or scratch_path(spark, "resharded")
     Store._put(as_they_are.unionByName(cut), new)
 

@@ -29,6 +29,10 @@ from corvida.session import ready, scratch_path
 MAGIC = b"PFR1"
 BLOCK = 1024
 PERCENTILE = 0.95
+#: Ids after which a file ends, so that no task holds more than a file and a batch.
+FILE_IDS = 8_000_000
+#: Files up to which their first positions (some 40 bytes each) are broadcast.
+BROADCAST_FILES = 200_000
 _HEAD = struct.Struct("<4sIQII")
 
 
@@ -126,31 +130,39 @@ def _put(path: str, content: bytes) -> None:
     where.move(temporary, name)
 
 
-def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str, *, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    """Writes every document's ids and an end id in ascending doc_id order: file k holds the k-th
-    range of doc_ids. Returns a row for each file: part, n_docs, n_tokens, n_bytes, path."""
+def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str, *, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes every document's ids and an end id in ascending doc_id order. Each range of doc_ids
+    is cut into files of about ``file_ids`` ids; a document stays whole. Returns a row for each
+    file: part and number (their order), n_docs, n_tokens, n_bytes, path."""
     spark = ready(docs.sparkSession)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
+    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("path", pa.string())])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, doc_ids, counts, ids = None, [], [], []
+        part, number, held, doc_ids, counts, ids = None, 0, 0, [], [], []
+
+        def put() -> pa.RecordBatch:
+            content = encode_file(*map(np.concatenate, (doc_ids, counts, ids)))
+            path = f"{folder}/part-{part:08d}-{number:08d}.pfr"
+            _put(path, content)
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "n_docs": [sum(map(len, doc_ids))], "n_tokens": [held], "n_bytes": [len(content)], "path": [path]}, schema=schema)
+
         for rows, got, offsets in tokens.encoded(batches, vocabulary):
             part = rows.column(2)[0].as_py()
-            with_end = np.insert(got, offsets[1:], end_id).astype(np.uint32)
             doc_ids.append(rows.column(0).to_numpy())
             counts.append(np.diff(offsets) + 1)
-            ids.append(with_end)
-        if part is None:
-            return
-        doc_ids, counts, ids = map(np.concatenate, (doc_ids, counts, ids))
-        content = encode_file(doc_ids, counts, ids)
-        path = f"{folder}/part-{part:08d}.pfr"
-        _put(path, content)
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "n_bytes": [len(content)], "path": [path]}, schema=pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("path", pa.string())]))
-
-    made = ranged.mapInArrow(write, "part int, n_docs long, n_tokens long, n_bytes long, path string")
+            ids.append(np.insert(got, offsets[1:], end_id).astype(np.uint32))
+            held += len(ids[-1])
+            if held >= file_ids:
+                yield put()
+                number, held, doc_ids, counts, ids = number + 1, 0, [], [], []
+        if doc_ids:
+            yield put()
+
+    made = ranged.mapInArrow(write, "part int, number int, n_docs long, n_tokens long, n_bytes long, path string")
     manifest = f"{folder}/manifest"
     made.write.parquet(manifest)
     return spark.read.schema(made.schema).parquet(manifest)
@@ -159,19 +171,23 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Reads the files back, a row for each document: doc_id, start, n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    # a row for each file, as many as there were tasks: the sum over the files before is small work
-    base = manifest.select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # a row for each file of millions of ids: the sum over the files before is small work
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    base = manifest.select("part", "number", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)\.pfr$", 1).cast("int").alias("part"), "content")
+    name = r"part-(\d+)-(\d+)\.pfr$"
+    files = files.select(F.regexp_extract("path", name, 1).cast("int").alias("part"), F.regexp_extract("path", name, 2).cast("int").alias("number"), "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(part, i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, start, ids in TokenFile(content.as_py()).documents()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-    rows = files.mapInArrow(read, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+            for part, number, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows = [(part, number, i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, start, ids in TokenFile(content.as_py()).documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    rows = files.mapInArrow(read, "part int, number int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    if manifest.count() <= BROADCAST_FILES:
+        base = F.broadcast(base)
+    return rows.join(base, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None, folder: str | None = None) -> DataFrame:

@@ -278,6 +278,16 @@ def test_op7_round_trip(docs, rows):
     assert sorted(map(tuple, token_binary.token_files(docs).collect())) == want
 
 
+def test_op7_many_files(spark, docs, tmp_path):
+    """Files end after a number of ids, between batches; what they hold is the same."""
+    folder = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    manifest = token_binary.write_token_files(docs, folder, 2, vocabulary(), partitions=2, file_ids=500)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert manifest.count() > 4
+    assert sorted(map(tuple, token_binary.read_token_files(manifest, folder).collect())) == sorted(map(tuple, token_binary.token_files(docs).collect()))
+
+
 @pytest.mark.parametrize("values", [[0], [5] * 70, [2**32 - 1, 0, 7], list(range(3000)), [3] * 99 + [2**31]])
 def test_op7_blocks(values):
     ids = np.array(values, np.uint32)
@@ -369,6 +379,11 @@ def test_op10_rows_and_slots(docs, rows):
     assert max(sizes.values()) <= sum(sizes.values()) / 8 + max(r["size"] for r in got.values())
 
 
+def test_op10_sizes_near_equal(spark):
+    sizes = [r["b"] for r in queries.op10_sharding(spark, SF).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 8
+
+
 def test_op10_fewest_bytes():
     rng = random.Random(4)
     for _ in range(20):
