@@ -72,6 +72,15 @@ _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+             s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+             k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM s),
+             r AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+             g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN r USING (k)),
+             t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+             h AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.j) AS kept, count(*) AS n FROM t ANTI JOIN g ON t.doc_id = g.doc_id AND t.j = g.j GROUP BY t.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN h USING (doc_id)""",
     "op3_decontamination": rf"""
         WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
              w AS (SELECT kind, id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM t),
@@ -79,6 +88,20 @@ SQL: dict[str, str] = {
              i AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1),
              f AS (SELECT d.id AS doc_id, i.id AS item_id, i.n_item, count(*) AS n_shared FROM s d JOIN i ON d.kind = 0 AND d.s = i.s GROUP BY ALL)
         SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM f WHERE n_shared >= 0.75 * n_item""",
+    "op4_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+             e AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM s GROUP BY doc_id),
+             c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS class_id FROM e),
+             r AS (SELECT s.doc_id, s.s, c.n FROM s JOIN c ON s.doc_id = c.doc_id AND c.doc_id = c.class_id),
+             l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.s = b.s AND a.doc_id < b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+             m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             g AS (SELECT DISTINCT class_id AS node, class_id AS seen FROM c UNION SELECT g.node, m.b FROM g JOIN m ON g.seen = m.a),
+             t AS (SELECT node, min(seen) AS component_id FROM g GROUP BY node)
+        SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(t.component_id, w.doc_id) AS component_id
+        FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN t ON c.class_id = t.node""",
     "op5_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)

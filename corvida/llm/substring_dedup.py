@@ -4,26 +4,38 @@ Fingerprints. A window of 35 words holds 25 runs of 11 words; the run with the s
 hash is the window's fingerprint. Equal windows have equal fingerprints at equal places, and
 neighbouring windows mostly share one, so about one position in thirteen enters the index.
 
-Index. Each batch's fingerprints (hash, doc_id, pos) become an immutable run of Parquet
-files sorted by hash. A new batch is merge-joined with the runs there are; the hashes found
-twice or more are candidates. Once there are more runs than the fan-out, they are compacted
-into one.
+Index. Each batch's fingerprints become an immutable run: a row for each hash with how often
+it is there, in buckets by hash and sorted within them. Counting before the shuffle leaves one
+row a task of a hash, however many documents have it. A new batch's run is merge-joined with
+the older ones, bucket by bucket, without a shuffle; hashes met twice or more are candidates.
+Once there are more runs than the fan-out, the two oldest are merged into one, again without a
+shuffle. A manifest that is only appended to names the runs, so an index can be opened again
+and go on with the next batch.
+
+Places. The fingerprints of all documents are joined with the candidate hashes. The commonest
+candidates (``HOT_HASHES`` at most, so they can be broadcast) are dealt by document over parts
+of about ``PART`` places each.
 
 Verification. For each document with a candidate its windows with candidate fingerprints are
 hashed whole and dealt by fingerprint into bins. Two windows are equal if both 64-bit hashes
-are: that of the fingerprint and that of the window. Windows that repeat within a task are
-settled there and send one entry, so a passage that a third of all documents share costs
-each bin one entry a task.
+are, that of the fingerprint and that of the window: 128 bits, by which even 10^14 windows
+have some two different ones taken for equal with a chance under 10^-10. Windows that repeat
+within a task are settled there and send one entry, so a passage that a third of all documents
+share costs each bin one entry a task.
 
 Every word that a repeated window covers goes, in all documents that have it.
 
-Cases: null and empty texts, and texts under 35 words, lose nothing; a repeated row counts
-as another document; an empty table gives no rows; other columns are ignored.
+Cases: null and empty texts, and texts under 35 words, lose nothing; very long texts are
+taken whole; a repeated row (same doc_id, same text) counts as another document and both lose
+what they share; rows without a doc_id are told apart by their text; an empty table gives no
+rows; other columns are ignored. A doc_id stands for one text: rows that share one must have
+the same text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.llm import words
-from corvida.session import ready, removed, scratch_path
+from corvida.llm.common import commonest
+from corvida.session import ready, removed, scratch_path, stored
 
 WINDOW, GRAM = 35, 11
-BATCHES, FANOUT = 2, 2
+BATCHES, FANOUT = 3, 2
+#: Candidates whose places are dealt over several parts, and about how many places a part gets.
+HOT_HASHES, PART = 100_000, 5_000
 _PER = WINDOW - GRAM + 1
 _NONE = np.uint64(2**64 - 1)
 #: Candidate windows a task gathers before it sends them on.
@@ -84,42 +99,78 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the shared folder."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.paths = spark, fanout, []
-
-    def _run(self, path: str) -> DataFrame:
-        return self.spark.read.schema("hash long, doc_id long, pos int").parquet(path)
-
-    def _write(self, rows: DataFrame) -> str:
-        path = scratch_path(self.spark, "run")
-        # rebalance splits the partition of a very frequent hash
-        rows.hint("rebalance", "hash").sortWithinPartitions("hash").write.option("compression", "zstd").parquet(path)
-        return path
+    """Sorted immutable runs (hash, n) in a shared folder; given a folder that has a manifest, the index there goes on."""
+
+    _MANIFEST = "version long, run string, buckets int"
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, path: str | None = None):
+        self.spark, self.fanout, self.tables, self.compactions = spark, fanout, {}, 0
+        self.path = path or scratch_path(spark, "fingerprints")
+        # an empty append makes the folder, so that a new index reads like an old one
+        spark.createDataFrame([], self._MANIFEST).write.mode("append").parquet(f"{self.path}/manifest")
+        rows = spark.read.schema(self._MANIFEST).parquet(f"{self.path}/manifest").collect()  # a row for each run and version
+        self.version = max((r["version"] for r in rows), default=0)
+        now = sorted((r for r in rows if r["version"] == self.version), key=lambda r: r["run"])
+        self.runs = [r["run"] for r in now]
+        self.buckets = now[0]["buckets"] if now else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _commit(self, runs: list[str]) -> None:
+        self.version, self.runs = self.version + 1, runs
+        rows = [(self.version, run, self.buckets) for run in runs]
+        self.spark.createDataFrame(rows, self._MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _run(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            self.tables[name] = table = f"corvida_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {table} (hash BIGINT, n BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self.tables[name])
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        self.tables[name] = table = f"corvida_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(table)
+        return name
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch; returns the hashes it has twice, or has in common with an older run."""
-        path = self._write(anchors(docs))
-        new = self._run(path).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-        found = new.where("n > 1").select("hash")
-        for old in self.paths:
-            found = found.union(new.select("hash").join(self._run(old).select("hash").distinct(), "hash", "left_semi"))
-        out = scratch_path(self.spark, "repeated")
-        found.distinct().write.parquet(out)
-        self.paths.append(path)
-        if len(self.paths) > self.fanout:
+        """Adds a batch; returns its hashes that are there twice or more by now, and how often (hash, n)."""
+        name = f"run-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
+        self._write(anchors(docs).groupBy("hash").agg(F.count(F.lit(1)).alias("n")), name)
+        met, n = self._run(name), F.col("n")
+        for k, old in enumerate(self.runs):
+            met = met.join(self._run(old).withColumnRenamed("n", f"n{k}"), "hash", "left")
+            n = n + F.coalesce(f"n{k}", F.lit(0))
+        found = stored(met.select("hash", n.alias("n")).where("n > 1"), "repeated")
+        self._commit([*self.runs, name])
+        if len(self.runs) > self.fanout:
             self.compact()
-        return self.spark.read.schema("hash long").parquet(out)
+        return found
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        merged = self._write(self.all())
-        removed(self.spark, *self.paths)
-        self.paths = [merged]
-
-    def all(self) -> DataFrame:
-        return self.spark.read.schema("hash long, doc_id long, pos int").parquet(*self.paths)
+        """Merges the two oldest runs into one that takes their place."""
+        old, new, *rest = self.runs
+        both = self._run(old).join(self._run(new).withColumnRenamed("n", "m"), "hash", "outer")
+        merged = self._write(both.select("hash", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")), f"{new}-{uuid.uuid4().hex[:8]}")
+        self._commit([merged, *rest])
+        self.compactions += 1
+        for run in (old, new):
+            self.spark.sql(f"DROP TABLE {self.tables.pop(run)}")
+        removed(self.spark, f"{self.path}/{old}", f"{self.path}/{new}")
+
+    def close(self) -> None:
+        """Takes the names of the runs out of the session's catalog; the files stay."""
+        for table in self.tables.values():
+            self.spark.sql(f"DROP TABLE {table}")
+        self.tables = {}
+
+
+def places(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The places (doc_id, at: positions) of the candidate hashes (hash, n) in docs. Those of a hot hash are dealt over parts."""
+    hot = commonest(repeated.where(F.col("n") > PART), "n", HOT_HASHES).select("hash", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    hot = F.broadcast(hot)
+    one = F.coalesce("parts", F.lit(1))
+    found = anchors(docs).join(hot, "hash", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), one).cast("int")).drop("parts")
+    wanted = repeated.join(hot, "hash", "left").select("hash", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    return found.join(wanted, ["hash", "part"]).groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
 
 
 def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,14 +298,17 @@ def _cut(joined: DataFrame, with_text: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, with_text: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
     spark = ready(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = F.col(doc_id).cast("long")
+    docs = docs.select(F.coalesce(named, F.xxhash64(text)).alias("doc_id"), F.col(text).alias("text"), named.isNull().alias("unnamed"))
     index, repeated = FingerprintIndex(spark, fanout), None
     for b in range(batches):  # every document is in one of the batches
         found = index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
         repeated = found if repeated is None else repeated.union(found)
-    hits = index.all().join(repeated.distinct(), "hash").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    index.close()
+    # the last batch that has a hash knows how often all have it
+    hits = places(docs, stored(repeated.groupBy("hash").agg(F.max("n").alias("n")), "repeated"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(n, "doc_id")  # both joins below read this one exchange
     blocks = _entries(dealt.join(hits, "doc_id").select("doc_id", "text", "at"), 2 * n)
     cuts = _settled(blocks).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))
-    return _cut(dealt.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts"), with_text)
+    return _cut(dealt.join(cuts, "doc_id", "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "text", "cuts"), with_text)

@@ -82,6 +82,40 @@ def test_op1_brute_force(docs, rows):
         assert got == want
 
 
+def test_op1_runs_merge_without_a_shuffle_and_an_index_opens_again(spark, docs):
+    from corvida.session import scratch_path
+
+    keyed = docs.select("doc_id", "text")
+    path = scratch_path(spark, "index")
+    index = substring_dedup.FingerprintIndex(spark, fanout=2, path=path)
+    seen = []
+    for b in range(4):
+        if b == 2:  # another session would do the same
+            index.close()
+            index = substring_dedup.FingerprintIndex(spark, fanout=2, path=path)
+            assert len(index.runs) == 2
+        seen.append(index.add(keyed.where(F.pmod("doc_id", F.lit(4)) == b)))
+    assert index.compactions == 2 and len(index.runs) == 2
+    plan = index._run(index.runs[0]).join(index._run(index.runs[1]).withColumnRenamed("n", "m"), "hash", "outer")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    counts = {r["hash"]: r["n"] for r in substring_dedup.anchors(keyed).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = {}
+    for part in seen:
+        for r in part.collect():
+            found[r["hash"]] = max(r["n"], found.get(r["hash"], 0))
+    assert found == {h: n for h, n in counts.items() if n > 1}
+    index.close()
+
+
+def test_op1_rows_without_doc_id_hot_places_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART", 3)  # so that places are dealt over parts
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(k, f"own{k} words{k} " + shared) for k in range(20)] + [(None, "lead " + shared + " trail"), (None, None), (99, "alone " * 3)] + [(50, " ".join(f"r{i}" for i in range(36)))] * 2
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"]) for r in out)
+    assert got == sorted([(k, 42, 40) for k in range(20)] + [(-1, 42, 40), (-1, 0, 0), (99, 3, 0)] + [(50, 36, 36)] * 2)
+
+
 def encoded(text, end):
     own = Tokenizer.from_file(vocabulary())
     return np.array([*own.encode(text or "", add_special_tokens=False).ids, end], "<u4")
