@@ -22,7 +22,7 @@ def totals(scope: DataFrame, keys: list[str]) -> DataFrame:
 
 def corpus_counts(found: DataFrame, by: tuple[str, ...] = ("concept",)) -> DataFrame:
     """concept, df0: exact documents in the whole corpus."""
-    return found.where("exact = 1").groupBy(*by).agg(F.count_distinct("doc_id").alias("df0"))
+    return found.where("exact = 1").groupBy(*by).agg(F.count("doc_id").alias("df0"))
 
 
 def relevance(df: Column, df0: Column, n0: Column) -> Column:
@@ -34,9 +34,10 @@ def volume(found: DataFrame, scope: DataFrame | None, n_docs: int, keys: tuple[s
     """Match counts of each concept and key, with relevance; concepts without a match are left out."""
     keys, by = list(keys), list(by)
     inside = found if scope is None else found.join(scope, "doc_id")
+    # one row for each document, concept and key, so documents are counted without distinct
     counts = inside.groupBy(*keys, *by).agg(
-        F.count_distinct(F.when(F.col("exact") == 1, F.col("doc_id"))).alias("exact_match_count"),
-        F.count_distinct("doc_id").alias("match_count"),
+        F.count(F.when(F.col("exact") == 1, F.col("doc_id"))).alias("exact_match_count"),
+        F.count("doc_id").alias("match_count"),
     )
     counts = counts.join(corpus_counts(found, tuple(by)), by, "left")
     total = counts.withColumn("total_count", F.lit(n_docs).cast("long")) if not keys else counts.join(totals(scope, keys), keys)
