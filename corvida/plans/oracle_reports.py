@@ -98,7 +98,6 @@ def _outliers(kind: str) -> str:
 
 _BODIES = {
     "volume_top": _TOP,
-    "volume_lists": _volume("no_keys", "", "listed", "list, concept"),
     "volume_subsets": _top(_volume("subsets", _SUBSET), _SUBSET, "relevance", 10),
     "volume_subsets_all": f"SELECT *, '_all_' AS value FROM ({_top(_volume('(SELECT DISTINCT doc_id, field FROM subsets) f', 'field'), 'field', 'relevance', 10)})",
     "volume_over_time_month": _top(_volume("month_docs", _SLICE), _SLICE, "relevance", 10),

@@ -55,10 +55,6 @@ def volume_top(r: Reports) -> DataFrame:
     return C.ranked(C.volume(r.found, None, r.n_docs), (), "relevance", TOP)
 
 
-def volume_lists(r: Reports) -> DataFrame:
-    return C.volume(r.listed(), None, r.n_docs, by=LIST_KEYS)
-
-
 def volume_subsets(r: Reports) -> DataFrame:
     return C.ranked(C.volume(r.found, r.subsets, r.n_docs, SUBSET), SUBSET, "relevance", TOP)
 
@@ -179,7 +175,6 @@ def doc_count_by_filter(r: Reports) -> DataFrame:
 
 REPORTS: dict[str, Callable[[Reports], DataFrame]] = {
     "volume_top": volume_top,
-    "volume_lists": volume_lists,
     "volume_subsets": volume_subsets,
     "volume_subsets_all": volume_subsets_all,
     "volume_over_time_month": volume_over_time("M"),
