@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvida.functions import colors, slices, text
+from corvida.operators import lexicon
 
 
 def one(spark, column):
@@ -42,3 +43,13 @@ def test_dates(spark, given, at):
 def test_emotions(spark, word, place):
     got = one(spark, text.emotion_of(F.lit(word)))
     assert (got and tuple(got)) == place
+
+
+def test_lexicon_scores(spark):
+    seen = spark.createDataFrame([(1, "good", "positive"), (2, "good", "positive"), (2, "good", "negative"), (3, "bad", "negative"), (3, "new", None), (4, "odd", "neutral")], "doc_id long, term string, sentiment string")
+    known = spark.createDataFrame([("good", -3.0), ("bad", -2.0)], "term string, known_score double")
+    rows = {r["term"]: r for r in lexicon.beside_known(lexicon.linear_scores(seen), known).collect()}
+    assert set(rows) == {"good", "bad", "odd"}  # without a sentiment there is no score
+    assert (rows["good"]["total_doc_count"], rows["good"]["axis_score"], rows["good"]["linear_score"]) == (2, 0.333333, 1.666665)
+    assert rows["good"]["conflict"] and not rows["bad"]["conflict"]
+    assert (rows["bad"]["change"], rows["odd"]["change"], rows["odd"]["novel"]) == (3.0, 0.0, True)
