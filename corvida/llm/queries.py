@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, sharding, substring_dedup, token_binary, toxicity
+from corvida.llm import alignment, decontamination, divergence, exact_dedup, language_id, lm_scoring, mixing, ngram_join, packing, sharding, substring_dedup, token_binary, toxicity
 from corvida.session import ready
 
 
@@ -54,6 +54,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
+    "op13_divergence": op13_divergence,
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -106,4 +121,36 @@ SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op11_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS size,
+                          md5('1:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS place FROM documents),
+             g AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+             s AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM g),
+             o AS (SELECT *, row_number() OVER w AS pos, coalesce(sum(2 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+                          sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, sum(source_size) OVER () AS total
+                   FROM s WINDOW w AS (ORDER BY source_size::DOUBLE / weight, source)),
+             v AS (SELECT *, (1.5::DOUBLE * total - held) / free::DOUBLE AS level FROM o),
+             l AS (SELECT arg_min(level, pos) AS level FROM v WHERE level * weight <= 2 * source_size),
+             t AS (SELECT source, source_size, least(weight * coalesce((SELECT level FROM l), 1e300), 2 * source_size)::DOUBLE AS target FROM s),
+             c AS (SELECT d.*, (sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS first FROM d),
+             f AS (SELECT c.*, source_size, target, floor(target)::BIGINT AS words FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               (CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - first)) END)::BIGINT AS taken FROM f""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+             k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+             c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+             v AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM k GROUP BY lang),
+             s AS (SELECT lang, source, sum(n) AS size FROM c GROUP BY lang, source),
+             g AS (SELECT DISTINCT d.lang, d.source, coalesce(size, 0) AS size, coalesce(v, 0) AS v, lang_size FROM d LEFT JOIN s USING (lang, source) LEFT JOIN v USING (lang)),
+             m AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (size + v) AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (lang_size + v) AS q
+                   FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                   LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+                   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM m WHERE n > 0 AND p > q),
+             o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 200""",
 }

@@ -29,13 +29,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Encodes pieces of an Arrow text column; keeps what it has encoded."""
+    """Encodes pieces of an Arrow text column; keeps what it has encoded. If ``plain``, the strings of special tokens are plain text."""
 
-    def __init__(self, path: str, most: int = MOST_PIECES):
+    def __init__(self, path: str, most: int = MOST_PIECES, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer.encode_special_tokens = plain
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -158,14 +159,14 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(count)])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """This Python worker's encoder for a file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain=plain)
+    return _ENCODERS[path, plain]
 
 
 def encoded(batches, path: str, text: str = "text"):

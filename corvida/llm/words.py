@@ -75,12 +75,13 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = BATCH_BYTES) -
         at = to
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) in bytes of every word, and first[i]: the number of words before row i (n + 1 values)."""
+def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) in bytes of every word, and first[i]: the number of words before row i (n + 1 values).
+    ``apart`` tells of every byte whether it parts words."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = SPACES[data]
+    space = apart[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = ~space
