@@ -40,13 +40,14 @@ from corvida.llm.common import commonest
 from corvida.session import ready, stored
 
 #: Events in a row.
-CHUNK = 4096
+CHUNK = 1024
 #: Tokens a step of the machine takes.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Pairs of ids that are broadcast, 17 bytes each; all others are joined.
 COMMON = 1_000_000
-MOST_RUNS = 1_000_000
-_BATCH = 3_000_000
+#: Cuts of texts that a side keeps encoded, some 40 bytes each.
+MOST_RUNS = 500_000
+_BATCH = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,7 +62,7 @@ class ByteSide:
     """Side A: a byte-level vocabulary; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        self.encoder = tokens.encoder(path, plain=True)
+        self.encoder = tokens.Encoder(path, MOST_RUNS, plain=True)
         letters = byte_letters()
         vocab = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         raw = [b""] * (max(vocab.values()) + 1)
@@ -252,7 +253,7 @@ class Sweep:
                 self.last[k] = int(ends[-1])
                 self.ends[k] = np.concatenate([self.ends[k], ends])
                 self.ids[k] = np.concatenate([self.ids[k], _joined(mine.column(7), self.types[k]).astype(np.int64)])
-        if len(self.ends[0]) + len(self.ends[1]) >= STEP or len(self.row) >= STEP // 16:
+        if len(self.ends[0]) + len(self.ends[1]) >= STEP or len(self.row) >= STEP // 8:
             yield self.step()
 
     def finish(self) -> Iterator[pa.RecordBatch]:
