@@ -2,8 +2,8 @@
 
 Both tokenizers cut the same bytes, a space and the text. Every token of A and of B is an
 event at the offset where it ends; runs of events of one document and one side travel
-together in a row (``CHUNK`` events: widths and ids), so that a shuffle carries four bytes
-a token. The union of both sides' events is dealt by document and sorted by offset inside
+together in a row (``CHUNK`` ids, each of which tells how many bytes its token has), so that a
+shuffle carries two bytes a token. The union of both sides' events is dealt by document and sorted by offset inside
 each partition; a state machine reads it once. It holds the tokens since the last offset
 where both sides end, and its counters:
 
@@ -169,13 +169,13 @@ def _number(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-_EVENTS = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("good", pa.bool_()), ("size", pa.int64()), ("widths", pa.binary()), ("ids", pa.binary())])
+_EVENTS = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("good", pa.bool_()), ("size", pa.int64()), ("ids", pa.binary())])
 
 
 def events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Of (row, doc_id, text) the ends of both sides' tokens: row, at (offset of the first
-    token's beginning), side (0: A), doc_id, good (the ids give the bytes back), size (bytes),
-    widths and ids (binary). The first row of each side has ``at`` 0, with or without tokens."""
+    token's beginning), side (0: A), doc_id, good (the ids give the bytes back), size (bytes)
+    and ids (binary; an id tells how many bytes its token has). The first row of each side has ``at`` 0, with or without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _side(ByteSide, path_a), _side(PieceSide, path_b)
@@ -188,20 +188,19 @@ def events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 for k, side in enumerate(sides):
                     ids, first, good = side.encode(data, offsets)
                     good &= size > 1
-                    width = side.width[ids]
-                    stop = np.concatenate([[0], np.cumsum(width)])
-                    narrow, short = ids.astype(_number(side.size)), width.astype(np.uint16)
+                    stop = np.concatenate([[0], np.cumsum(side.width[ids])])
+                    narrow = ids.astype(_number(side.size))
                     out: list[tuple] = []
                     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                         if not good[i]:
-                            out.append((row[i], 0, k, doc_id[i], False, 0, b"", b""))
+                            out.append((row[i], 0, k, doc_id[i], False, 0, b""))
                             continue
                         for s in range(a, b, CHUNK):
                             e = min(b, s + CHUNK)
-                            out.append((row[i], int(stop[s] - stop[a]), k, doc_id[i], True, int(size[i]), short[s:e].tobytes(), narrow[s:e].tobytes()))
+                            out.append((row[i], int(stop[s] - stop[a]), k, doc_id[i], True, int(size[i]), narrow[s:e].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _EVENTS, strict=True)], schema=_EVENTS)
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, at long, side int, doc_id long, good boolean, size long, widths binary, ids binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, at long, side int, doc_id long, good boolean, size long, ids binary")
 
 
 def _joined(column: pa.Array, dtype: type) -> np.ndarray:
@@ -212,19 +211,26 @@ def _joined(column: pa.Array, dtype: type) -> np.ndarray:
 _SWEPT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
 
 
+def _written(size: int, ends: tuple[bytes, bytes]) -> np.ndarray:
+    """The ids below size in decimal with either end, eight bytes each, filled up with zeros."""
+    return np.frombuffer(b"".join((b"%d%s" % (i, c)).ljust(8, b"\0") for i in range(size) for c in ends), np.uint64)
+
+
 class Sweep:
-    """The state machine: reads sorted events, gives a row for each document, or for a part of one that is longer than a step."""
+    """The state machine: reads sorted events, gives a row for each document, or for a part of one that is longer than a step.
+    ``widths`` are the bytes of each id of A and of B, of which there are below ten million."""
 
-    def __init__(self, size_a: int, size_b: int, texts: bool = False):
-        self.types, self.n_a, self.n_b, self.texts = (_number(size_a), _number(size_b)), size_a, size_b, texts
-        self.names = [b"%d%s" % (i, c) for i in range(size_a) for c in (b",", b"|")] + [b"%d%s" % (i, c) for i in range(size_b) for c in (b",", b";")]
+    def __init__(self, widths: tuple[np.ndarray, np.ndarray], texts: bool = False):
+        self.widths, self.texts = widths, texts
+        self.n_a, self.n_b = map(len, widths)
+        self.names = np.concatenate([_written(self.n_a, (b",", b"|")), _written(self.n_b, (b",", b";"))])
         self.ends = [np.empty(0, np.int64), np.empty(0, np.int64)]  # of tokens that wait, on the line
         self.ids = [np.empty(0, np.int64), np.empty(0, np.int64)]
         self.last = [0, 0]  # where each side's tokens on the line end
         self.row, self.doc_id, self.stop = [], [], np.empty(0, np.int64)  # documents on the line, and their ends
         self.line = self.done = 0
         self.good, self.held = False, None
-        self.digest, self.open = None, False
+        self.digest = None
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([x for x in (self.held, batch) if x is not None]).combine_chunks()
@@ -248,11 +254,12 @@ class Sweep:
             self.stop, self.line, self.good = np.concatenate([self.stop, stop]), int(stop[-1]), bool(both[-1])
         for k in (0, 1):
             mine = rows.filter(pa.array(take & (side == k)))
-            ends = self.last[k] + np.cumsum(_joined(mine.column(6), np.uint16), dtype=np.int64)
-            if len(ends):
+            ids = _joined(mine.column(6), _number(len(self.widths[k]))).astype(np.int64)
+            if len(ids):
+                ends = self.last[k] + np.cumsum(self.widths[k][ids], dtype=np.int64)
                 self.last[k] = int(ends[-1])
                 self.ends[k] = np.concatenate([self.ends[k], ends])
-                self.ids[k] = np.concatenate([self.ids[k], _joined(mine.column(7), self.types[k]).astype(np.int64)])
+                self.ids[k] = np.concatenate([self.ids[k], ids])
         if len(self.ends[0]) + len(self.ends[1]) >= STEP or len(self.row) >= STEP // 8:
             yield self.step()
 
@@ -263,46 +270,55 @@ class Sweep:
     def step(self) -> pa.RecordBatch:
         """Takes all tokens up to the last offset where both sides end."""
         (ea, eb), (ia, ib) = self.ends, self.ids
-        near = np.minimum(np.searchsorted(eb, ea), max(0, len(eb) - 1))
-        common = ea[eb[near] == ea] if len(eb) else ea[:0]
         n_docs = len(self.row)
         counts = np.zeros((4, n_docs), np.int64)
-        pair, times, cut = np.empty(0, np.uint32), np.empty(0, np.uint32), np.zeros(n_docs + 1, np.int64)
-        said: list[bytes] = []
-        tok = np.zeros(n_docs + 1, np.int64)
+        pair, times, cut = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(n_docs + 1, np.int64)
+        said, letters = np.empty(0, np.uint8), np.zeros(n_docs + 1, np.int64)
+        # a mark for each byte of the line where a side ends; what both have marked is common
+        span = min(self.last) - self.done
+        na, nb = (int(np.searchsorted(e, self.done + span, "right")) for e in (ea, eb))
+        marks = np.zeros((2, span + 1), bool)
+        for mark, e, n in zip(marks, (ea, eb), (na, nb), strict=True):
+            mark[e[:n] - self.done] = True
+        common = np.flatnonzero(marks[0] & marks[1])
         if len(common):
-            self.done = int(common[-1])
-            na, nb = (int(np.searchsorted(e, self.done, "right")) for e in (ea, eb))
+            span = int(common[-1])
+            na, nb = (int(np.searchsorted(e, self.done + span, "right")) for e in (ea, eb))
             self.ends, self.ids = [ea[na:], eb[nb:]], [ia[na:], ib[nb:]]
-            ea, eb, ia, ib = ea[:na], eb[:nb], ia[:na], ib[:nb]
-            ga, gb, doc = np.searchsorted(common, ea), np.searchsorted(common, eb), np.searchsorted(self.stop, common)
-            every = np.union1d(ea, eb)
-            left, right = np.searchsorted(ea, every), np.searchsorted(eb, every)
-            of = doc[ga[left]]
-            counts[:] = [np.bincount(x, minlength=n_docs) for x in (doc[ga], doc[gb], doc, of)]
+            ea, eb, ia, ib = ea[:na] - self.done, eb[:nb] - self.done, ia[:na], ib[:nb]
+            marks = marks[:, : span + 1]
+            upto = np.cumsum(marks, axis=1, dtype=np.int64)  # tokens that end up to each byte
+            group = np.cumsum(marks[0] & marks[1], dtype=np.int64)
+            ga, gb = group[ea] - (marks[0] & marks[1])[ea], group[eb] - (marks[0] & marks[1])[eb]
+            every = np.flatnonzero(marks[0] | marks[1])
+            left, right = (upto[k][every] - marks[k][every] for k in (0, 1))
+            stops = np.concatenate([[-1], np.minimum(self.stop - self.done, span)])
+            counts[:] = [np.diff(np.searchsorted(x, stops, "right")) for x in (ea, eb, common, every)]
+            of = np.repeat(np.arange(n_docs), counts[3])
             key, times = np.unique(of * (self.n_a * self.n_b) + ia[left] * self.n_b + ib[right], return_counts=True)
             owner = key // (self.n_a * self.n_b)
             pair, cut = key - owner * (self.n_a * self.n_b), np.searchsorted(owner, np.arange(n_docs + 1))
-            code = np.empty(na + nb, np.int64)
-            code[np.arange(na) + np.searchsorted(gb, ga)] = 2 * ia + np.append(ga[1:] != ga[:-1], True)
-            code[np.arange(nb) + np.searchsorted(ga, gb, "right")] = 2 * self.n_a + 2 * ib + np.append(gb[1:] != gb[:-1], True)
-            names = self.names
-            said = [names[c] for c in code.tolist()]
-            tok[1:] = np.cumsum(counts[0] + counts[1])
+            # where each token's id is written: behind all tokens of earlier groups, A before B
+            code, before = np.empty(na + nb, np.int64), np.concatenate([[0], upto[1][common]])
+            code[np.arange(na) + before[ga]] = 2 * ia + np.append(ga[1:] != ga[:-1], True)
+            code[np.arange(nb) + upto[0][common][gb]] = 2 * self.n_a + 2 * ib + np.append(gb[1:] != gb[:-1], True)
+            said = self.names[code].view(np.uint8)
+            used = said != 0
+            width = np.concatenate([[0], np.cumsum(used.reshape(-1, 8).sum(axis=1))])
+            said, letters[1:] = said[used], width[np.cumsum(counts[0] + counts[1])]
+            self.done += span
         whole = int(np.searchsorted(self.stop, self.done, "right"))  # documents that end up to here
         touched = whole + (whole < n_docs and bool(counts[2][whole]))
         texts, digests = [], []
         for i in range(touched):
-            text = b"".join(said[tok[i] : tok[i + 1]])[:-1]
-            digest = self.digest if i == 0 and self.digest is not None else hashlib.sha256()
-            if i == 0 and self.digest is not None and text:
-                digest.update(b";")
-            digest.update(text)
+            text = said[letters[i] : letters[i + 1]].tobytes()[:-1]
+            goes_on = i == 0 and self.digest is not None
+            digest = self.digest if goes_on else hashlib.sha256()
+            digest.update(b";" + text if goes_on and text else text)
             self.digest = digest if i >= whole else None
             texts.append(text.decode() if self.texts else None)
-            began = counts[2][i] or (i == 0 and self.open)
+            began = counts[2][i] or goes_on
             digests.append((digest.hexdigest() if began else "") if i < whole else None)
-            self.open = i >= whole
         pair, times = pair.astype("<u8").view(np.uint8), times.astype("<u4").view(np.uint8)
         out = [self.row[:touched], self.doc_id[:touched], *(c[:touched] for c in counts), texts, digests]
         out += [[x[w * a : w * b].tobytes() for a, b in zip(cut[:touched].tolist(), cut[1 : touched + 1].tolist(), strict=True)] for x, w in ((pair, 8), (times, 4))]
@@ -314,11 +330,12 @@ def swept(docs: DataFrame, path_a: str, path_b: str, texts: bool = False) -> Dat
     """Of (row, doc_id, text): row, doc_id, n_a, n_b, n_groups, n_links, groups (where ``texts``), groups_sha256,
     pairs (A id * size of B + B id, unsigned 64 bits each) and times (unsigned 32 bits) of the links.
     A document of more tokens than a step has several rows, of which the last has the hash."""
-    size_a, size_b = _side(ByteSide, path_a).size, _side(PieceSide, path_b).size
+    widths = tuple(_side(*x).width.astype(np.uint16) for x in ((ByteSide, path_a), (PieceSide, path_b)))
     dealt = events(docs, path_a, path_b).repartition("row").sortWithinPartitions("row", "at", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Sweep(size_a, size_b, texts)
+        _SIDES.clear()  # this worker may have encoded before
+        machine = Sweep(widths, texts)
         for batch in batches:
             yield from machine.add(batch)
         yield from machine.finish()

@@ -112,14 +112,14 @@ def test_machine_in_small_steps(rows):
         for side, encode in enumerate((one, other)):
             ids, raw = encode(text) if text else ([], [])
             if not text or b"".join(raw) != full:
-                fed.append((row, 0, side, doc_id, False, 0, b"", b""))
+                fed.append((row, 0, side, doc_id, False, 0, b""))
                 continue
             at = 0
             for s in range(0, len(ids), 37):
-                fed.append((row, at, side, doc_id, True, len(full), np.array([len(x) for x in raw[s : s + 37]], np.uint16).tobytes(), np.array(ids[s : s + 37], np.uint16).tobytes()))
+                fed.append((row, at, side, doc_id, True, len(full), np.array(ids[s : s + 37], np.uint16).tobytes()))
                 at += sum(map(len, raw[s : s + 37]))
     fed.sort(key=lambda x: x[:3])
-    machine = alignment.Sweep(50257, 32000, True)
+    machine = alignment.Sweep(tuple(alignment._side(*x).width for x in ((alignment.ByteSide, vocabulary()), (alignment.PieceSide, vocabulary("piece_bpe_32k.model")))), True)
     out = []
     for x in fed:
         batch = pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(x, alignment._EVENTS)], schema=alignment._EVENTS)
