@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.session import stored
@@ -10,6 +13,19 @@ from corvida.session import stored
 ROW = "__row"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, what is written passes Python workers in Arrow batches of at most so many rows: for
+    long texts, of which Spark's own number takes some 100 MB on either side of each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number of their own in ``ROW``; they are stored, so it stays the same each time they are read."""
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
