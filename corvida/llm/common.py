@@ -26,6 +26,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it from, so that no worker falls back to its own disk."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a number of their own in ``ROW``; they are stored, so it stays the same each time they are read."""
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")

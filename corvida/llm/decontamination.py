@@ -51,48 +51,62 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item_id, shingle, hash, n_item: the distinct shingles of every item."""
+    """item (a hash of id and shingles), item_id, shingle, hash, n_item: the distinct shingles of every
+    item. Items of one id but other texts, or without id, stay apart; equal ones are one."""
     with_words = items.select(F.col(item_id).alias("item_id"), _words(F.col(text)).alias("w")).where(F.size("w") >= SHINGLE)
     strings = F.array_distinct(_runs(F.col("w"), F.col("w"), lambda x: F.array_join(x, " ")))
-    found = with_words.select("item_id", strings.alias("s")).dropDuplicates(["item_id"])
-    found = found.select("item_id", F.size("s").cast("long").alias("n_item"), F.explode("s").alias("shingle"))
+    found = with_words.select("item_id", strings.alias("s"))
+    found = found.withColumn("item", F.xxhash64("item_id", F.col("item_id").isNull(), F.sort_array("s"))).dropDuplicates(["item"])
+    found = found.select("item", "item_id", F.size("s").cast("long").alias("n_item"), F.explode("s").alias("shingle"))
     # the same hash as of a slice of hashed words
     return found.withColumn("hash", F.xxhash64(F.transform(F.split("shingle", " "), lambda w: F.xxhash64(w))))
 
 
 def signatures(shingles: DataFrame) -> DataFrame:
-    """item_id, hash, least: the signature shingles, and the fewest shingles that a document
+    """item, hash, least: the signature shingles, and the fewest shingles that a document
     with any item of the partition has."""
     top = F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1
     ordered = F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(41), "hash").alias("order"), "hash")))
-    per_item = shingles.groupBy("item_id", "n_item").agg(ordered.alias("all"))
+    per_item = shingles.groupBy("item", "n_item").agg(ordered.alias("all"))
     k = F.floor(top * (1 - CONTAINMENT)).cast("int") + 1
     per_item = per_item.withColumn("sig", F.slice("all", 1, k))
     least = F.ceil(((top + 1) / 2) * CONTAINMENT).cast("int").alias("least")
-    return per_item.select("item_id", least, F.explode("sig.hash").alias("hash"))
+    return per_item.select("item", least, F.explode("sig.hash").alias("hash"))
 
 
-def contained(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """A row for each item found in a document: doc_id, item_id, n_item, n_shared, containment."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _key(doc_id: str, text: str) -> Column:
+    """What tells documents apart, those without doc_id or with that of another too."""
+    return F.xxhash64(doc_id, F.col(doc_id).isNull(), text)
+
+
+def _found(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """Of docs (doc, doc_id, text): doc, doc_id, item_id, n_item, n_shared, a row for each item in a document."""
     shingles = stored(_item_shingles(items, item_id, item_text), "item-shingles")
     sig = _small(signatures(shingles))
 
-    worded = docs.select("doc_id", _words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    hashed = worded.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    runs = hashed.select("doc_id", (F.size("h") - (SHINGLE - 1)).alias("n"), F.explode(_runs(F.col("h"), F.col("h"), F.xxhash64)).alias("hash"))
-    candidates = stored(runs.join(sig, "hash").where("n >= least").select("doc_id", "item_id").distinct(), "candidates")
+    worded = docs.select("doc", _words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
+    hashed = worded.select("doc", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    runs = hashed.select("doc", (F.size("h") - (SHINGLE - 1)).alias("n"), F.explode(_runs(F.col("h"), F.col("h"), F.xxhash64)).alias("hash"))
+    candidates = stored(runs.join(sig, "hash").where("n >= least").select("doc", "item").distinct(), "candidates")
 
-    again = docs.join(_small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-    worded = again.select("doc_id", _words(F.col("text")).alias("w"))
-    strings = worded.select("doc_id", F.explode(_runs(F.col("w"), F.col("w"), lambda x: F.array_join(x, " "))).alias("shingle"))
-    shared = strings.join(_small(shingles.select("shingle", "item_id", "n_item")), "shingle")
-    shared = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
-    shared = shared.where(F.col("n_shared") >= F.col("n_item") * CONTAINMENT).join(candidates, ["doc_id", "item_id"])
-    return shared.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    again = docs.join(_small(candidates.select("doc").distinct()), "doc", "left_semi")
+    worded = again.select("doc", "doc_id", _words(F.col("text")).alias("w"))
+    strings = worded.select("doc", "doc_id", F.explode(_runs(F.col("w"), F.col("w"), lambda x: F.array_join(x, " "))).alias("shingle"))
+    shared = strings.join(_small(shingles.select("shingle", "item", "item_id", "n_item")), "shingle")
+    shared = shared.groupBy("doc", "doc_id", "item", "item_id", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
+    return shared.where(F.col("n_shared") >= F.col("n_item") * CONTAINMENT).join(candidates, ["doc", "item"])
+
+
+def contained(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """A row for each item found in a document: doc_id, item_id, n_item, n_shared, containment.
+    Rows that would be equal, of repeated documents or items, are given once."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("doc", _key("doc_id", "text"))
+    found = _found(docs, items, item_id, item_text)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    found = contained(docs, items).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__found"], "left_anti")
+    """The documents in which no item is found, with all their columns; those without doc_id are told apart by their texts."""
+    keyed = docs.select("doc_id", "text").withColumn("doc", _key("doc_id", "text"))
+    found = _found(keyed, items, "item_id", "text").select(F.col("doc").alias("__found")).distinct()
+    return docs.join(found, _key("doc_id", "text") == F.col("__found"), "left_anti")

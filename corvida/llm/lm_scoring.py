@@ -23,7 +23,7 @@ them up. The commonest words (a fixed number) are broadcast with their probabili
 others are joined by a shuffle of (document, word) rows, so no table is cut off.
 
 Cases: null and empty texts are the end alone; without training rows every token is unseen;
-repeated rows are scored each for itself; an empty table gives no rows; other columns are
+repeated rows and rows without doc_id (never held out) are scored each for itself; an empty table gives no rows; other columns are
 ignored. Letters A-Z are lower-cased, all else is as it is.
 """
 
@@ -54,8 +54,8 @@ _LN10 = math.log(10)
 
 
 def held_out(doc_id: Column) -> Column:
-    """The rows that are never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
+    """The rows that are never learned from; a row without doc_id isn't one of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
 class Pieces:
@@ -262,11 +262,12 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, common: int = COMMON, pat
                 h, r = at[hit], row[hit]
                 ids = rows.column(0).to_numpy()
                 size = np.diff(first)
-                head = [np.zeros(rows.num_rows, np.int32), ids, rows.column(2).to_numpy(), size + 1, np.bincount(r, known[h], rows.num_rows).astype(np.int64) + (ends > 0), np.bincount(r, base[h], rows.num_rows) + end_base, np.bincount(r, lp[h], rows.num_rows) + end_lp]
+                doc = pa.concat_arrays([rows.column(2), pa.array(key[~hit].view(np.int64))])
+                head = [np.zeros(rows.num_rows, np.int32), ids, np.zeros(rows.num_rows, np.int64), size + 1, np.bincount(r, known[h], rows.num_rows).astype(np.int64) + (ends > 0), np.bincount(r, base[h], rows.num_rows) + end_base, np.bincount(r, lp[h], rows.num_rows) + end_lp]
                 miss = ~hit
                 ids = ids[row[miss]]
-                rest = [np.ones(len(ids), np.int32), ids, key[miss].view(np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(zip(head, rest, strict=True), schema, strict=True)], schema=schema)
+                rest = [np.ones(len(ids), np.int32), ids, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
+                yield pa.RecordBatch.from_arrays([doc if t.name == "key" else pa.array(np.concatenate(c), t.type) for c, t in zip(zip(head, rest, strict=True), schema, strict=True)], schema=schema)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id")
     found = stored(numbered.mapInArrow(look_up, "kind int, row long, key long, n long, known long, base double, lp double"), "looked-up", "kind")

@@ -8,7 +8,7 @@ size and each group packs for itself, so one task never holds more than a group,
 only loss is the last few windows of a group.
 
 Cases: a null or empty text is one piece with its end id; an empty table gives no rows;
-equal documents are packed each for itself; other columns are ignored.
+equal documents and those without doc_id are packed each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,13 +106,15 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     # a hash of the piece deals even one hot document's copies evenly; a group's number leads its sequence numbers
     rest = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id"], ascending=[False, True], kind="stable")
-        bins, offsets = best_fit(pdf["length"].to_numpy(), window)
-        return pdf.assign(sequence_id=(pdf["grp"] + 1) * _SPLIT + bins, offset=offsets).drop(columns="grp")
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        length, grp = table["length"].to_numpy(), table["grp"].to_numpy()
+        order = np.lexsort((table["doc_id"].fill_null(-1).to_numpy(), -length))
+        bins, offsets = best_fit(length[order], window)
+        return table.take(pa.array(order)).drop_columns("grp").append_column("sequence_id", pa.array((grp + 1) * _SPLIT + bins)).append_column("offset", pa.array(offsets))
 
     columns = [*cut.columns, "sequence_id", "offset"]
-    packed = rest.groupBy("grp").applyInPandas(fit, ", ".join(f"{c} long" for c in columns))
+    packed = rest.groupBy("grp").applyInArrow(fit, ", ".join(f"{c} long" for c in columns))
     full = cut.where(F.col("length") == window)
     # full windows: numbers below zero can't meet those of the groups, and need no count over the rows
     full = full.withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))

@@ -98,11 +98,11 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN h USING (doc_id)""",
     "op3_decontamination": rf"""
         WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
-             w AS (SELECT kind, id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM t),
-             s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
-             i AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1),
-             f AS (SELECT d.id AS doc_id, i.id AS item_id, i.n_item, count(*) AS n_shared FROM s d JOIN i ON d.kind = 0 AND d.s = i.s GROUP BY ALL)
-        SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM f WHERE n_shared >= 0.75 * n_item""",
+             w AS (SELECT row_number() OVER () AS k, kind, id, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM t),
+             s AS (SELECT DISTINCT k, kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+             i AS (SELECT k, id, s, count(*) OVER (PARTITION BY k) AS n_item FROM s WHERE kind = 1),
+             f AS (SELECT d.id AS doc_id, i.id AS item_id, i.n_item, count(*) AS n_shared FROM s d JOIN i ON d.kind = 0 AND d.s = i.s GROUP BY d.k, d.id, i.k, i.id, i.n_item)
+        SELECT DISTINCT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM f WHERE n_shared >= 0.75 * n_item""",
     "op4_ngram_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
              s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

@@ -7,6 +7,8 @@ of exceptions; the ids less the minimum, packed at ``width`` bits (an exception
 zero); then u16 position and u32 value of each exception. The width is the smallest that a
 set share of the block's ids fit into, so a few large ids don't widen the whole block.
 
+A document without doc_id has ``NO_ID`` in the file; such documents come first.
+
 Cases: a null text counts as empty, an empty text has the end id alone; an empty table
 gives no file and no row; other columns are ignored.
 """
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvida.llm import tokens
+from corvida.llm.common import qualified
 from corvida.session import ready, scratch_path
 
 MAGIC = b"PFR1"
@@ -33,6 +36,8 @@ PERCENTILE = 0.95
 FILE_IDS = 8_000_000
 #: Files up to which their first positions (some 40 bytes each) are broadcast.
 BROADCAST_FILES = 200_000
+#: Stands for null; a doc_id of this value is refused.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIQII")
 
 
@@ -135,6 +140,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str
     is cut into files of about ``file_ids`` ids; a document stays whole. Returns a row for each
     file: part and number (their order), n_docs, n_tokens, n_bytes, path."""
     spark = ready(docs.sparkSession)
+    folder = qualified(spark, folder)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -152,7 +158,10 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int, vocabulary: str
 
         for rows, got, offsets in tokens.encoded(batches, vocabulary):
             part = rows.column(2)[0].as_py()
-            doc_ids.append(rows.column(0).to_numpy())
+            own = rows.column(0)
+            if own.null_count and NO_ID in own.to_pylist() or not own.null_count and (own.to_numpy() == NO_ID).any():
+                raise ValueError(f"{NO_ID} is no doc_id of a token file")
+            doc_ids.append(own.fill_null(NO_ID).to_numpy())
             counts.append(np.diff(offsets) + 1)
             ids.append(np.insert(got, offsets[1:], end_id).astype(np.uint32))
             held += len(ids[-1])
@@ -181,7 +190,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, number, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = [(part, number, i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, start, ids in TokenFile(content.as_py()).documents()]
+                rows = [(part, number, None if i == NO_ID else i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, start, ids in TokenFile(content.as_py()).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = files.mapInArrow(read, "part int, number int, doc_id long, at long, n_tokens long, ids_crc32 long")

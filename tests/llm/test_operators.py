@@ -489,3 +489,27 @@ def test_op5_groups_without_ids(spark):
     got = exact_dedup.exact_groups(spark.createDataFrame([(None, "x"), (None, "x"), (None, "y"), (4, "y")], "doc_id long, text string")).collect()
     assert sorted((r["text_sha256"] == hashlib.sha256(b"x").hexdigest(), r["doc_id"] is None, r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] is not None) == [(False, False, 4, 2, True)]
     assert Counter((r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] is None) == {(None, 2, None): 2, (4, 2, None): 1}
+
+
+BIG = 9007199254740993  # no float64 has this value
+
+
+@pytest.mark.parametrize("name", ["op2", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_rows_without_doc_id(spark, name):
+    """A row for each document, with its own id or none."""
+    items = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([(BIG, 1), (None, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    own = [BIG, None, None, 3, 4, None]
+    docs = spark.createDataFrame([(i, t, "en", None, None, "h", 1, 2, "r", 0.5, "s") for i, t in zip(own, ["some words here", "other words", None, "words", "", "other words"])], SCHEMA).repartition(2)
+    got = [r["doc_id"] for r in EACH[name](docs, items, labels).collect()]
+    assert sorted(got, key=lambda x: x or 0) == [None, None, None, 3, 4, BIG]
+
+
+def test_op3_items_and_documents_that_share_ids_or_have_none(spark):
+    a, b = ("".join(f"{x}{i} " for i in range(9)) for x in "ab")
+    items = spark.createDataFrame([(7, a), (7, b), (None, a), (None, a), (8, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see " + a), (2, b), (None, b + " x"), (None, "none of it here at all"), (1, "another text with id one")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["n_shared"]) for r in decontamination.contained(docs, items).collect()), key=str)
+    assert got == sorted([(1, 7, 5), (1, None, 5), (2, 7, 5), (None, 7, 5)], key=str)
+    kept = decontamination.decontaminate(docs, items).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"]) == [(1, "another text with id one")] and len(kept) == 2
