@@ -107,7 +107,7 @@ _BODIES = {
     "sentiment_subsets": _sentiment("subsets", _SUBSET),
     "sentiment_over_time": _sentiment("month_docs", _SLICE),
     "drivers": _drivers("no_keys", ""),
-    "drivers_suggested": _top(_drivers("no_keys", ""), "driver_field", "importance", 20),
+    "drivers_suggested": _top(_drivers("no_keys", ""), "driver_field", "importance", 100),
     "drivers_subsets": _drivers("subsets", _SUBSET),
     "drivers_over_time": _drivers("month_docs", _SLICE),
     "outliers_both": _outliers("both"),

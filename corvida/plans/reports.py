@@ -86,7 +86,7 @@ def drivers(r: Reports) -> DataFrame:
 
 
 def drivers_suggested(r: Reports) -> DataFrame:
-    return C.ranked(C.drivers(r.found, r.scores(), ("driver_field",)), ("driver_field",), "importance", 20)
+    return C.ranked(C.drivers(r.found, r.scores(), ("driver_field",)), ("driver_field",), "importance", 100)
 
 
 def drivers_subsets(r: Reports) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvida.functions import colors, fuzzy, slices, text, vectors
+from corvida.operators import numbering
 from corvida.operators import concepts as C
 from corvida.plans.oracle_reports import BASE
 from corvida.plans.reports import Reports
@@ -363,9 +364,10 @@ def review_fanout(r: Reports) -> DataFrame:
 def train_test_split(r: Reports) -> DataFrame:
     """Stratified by label: three in ten to the test set; labels that occur once go, rows without one all train."""
     rows = r.star.table("documents").select("doc_id").join(r.star.table("labels"), "doc_id", "left").select("doc_id", F.concat(F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("label"))
-    known = rows.where("label is not null")
-    rn = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    placed = known.select("doc_id", "label", rn.alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("n")).where("n > 1")
+    known = rows.where("label is not null").withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    # four labels, so neither numbers nor counts may be taken a label a task; as many rows as labels are broadcast
+    sizes = F.broadcast(known.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    placed = numbering.numbered(known, "key", "doc_id", name="rn", within=("label",)).join(sizes, "label").where("n > 1")
     placed = placed.select("doc_id", "label", F.when(F.col("rn") > 0.3 * F.col("n"), "train").otherwise("test").alias("part"))
     return placed.unionByName(rows.where("label is null").withColumn("part", F.lit("train")))
 

@@ -124,19 +124,11 @@ def boilerplate_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.removed(_docs(spark, sf_dir), found).select("doc_id", "text", F.size("removed").alias("n_removed"))
 
 
-@query("""SELECT doc_id, tokens, before, before < 100000 AS counted FROM (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM
-    (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+|\\n')) AS tokens FROM documents))""")
+@query("""SELECT doc_id, tokens, before, before < 1000000 AS counted FROM (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM
+    (SELECT doc_id, CASE WHEN n < 7 THEN 0 ELSE n END AS tokens FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+|\\n')) AS n FROM documents)))""")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in order until a budget of tokens is reached; sums of blocks come before sums within."""
-    from corvida.functions.text import TOKEN
-
-    rows = _docs(spark, sf_dir).select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))).cast("long").alias("tokens"), F.floor(F.col("doc_id") / 10_000).alias("block"))
-    rows = stored(rows, "sizes")
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    base = rows.groupBy("block").agg(F.sum("tokens").alias("t")).select("block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(base, "block").select("doc_id", "tokens", (F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("before"))
-    return out.withColumn("counted", F.col("before") < 100_000)
+    """Documents in order until a budget of tokens is reached."""
+    return B.budgeted(_docs(spark, sf_dir))
 
 
 # -- language ---------------------------------------------------------------------------------
@@ -305,6 +297,25 @@ def stream_topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.appended(jobs.with_topics(jobs.source(ready(spark), sf_dir), ["click", "purchase"]), "topics").select("event_id", "event_type")
 
 
-@query("SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 201)::BIGINT AS flush FROM events")
+@query("SELECT event_id, flush FROM (SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 201)::BIGINT AS flush, count(*) OVER () AS n FROM events) WHERE flush < n // 201")
 def stream_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.flushed(_table(spark, sf_dir, "events"))
+    """A buffer is sent each time it holds 201 events; what is left waits for more."""
+    return jobs.appended(jobs.flushed(jobs.source(ready(spark), sf_dir)), "flushes").where("full").select("event_id", "flush")
+
+
+@query("""WITH b AS (SELECT range AS batch, 1 + ('0x' || substr(md5('7-' || range), 1, 6))::BIGINT % 15 AS k FROM range(20)), p AS (SELECT batch, sum(k) OVER (ORDER BY batch) - k + unnest(range(k)) AS i FROM b),
+    e AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)
+    SELECT event_id, batch, pos FROM p JOIN e ON e.pos = (p.i + ('0x' || substr(md5('7'), 1, 8))::BIGINT % n) % n""")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored events sent again, one to fifteen at a time, from a start that the seed gives."""
+    from corvida.streaming import replay
+
+    return replay.replayed(_table(spark, sf_dir, "events"), ["ts", "event_id"], seed=7, batches=20).select("event_id", "batch", "pos")
+
+
+@query("SELECT count(*) AS rows FROM events")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener has been told of a stream's batches: their rows add up to the input."""
+    with jobs.progress(ready(spark)) as seen:
+        jobs.appended(jobs.with_topics(jobs.source(spark, sf_dir), ["click"]), "progress")
+    return seen.table().agg(F.sum("rows").alias("rows"))

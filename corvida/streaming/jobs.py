@@ -6,14 +6,18 @@ it has kept in the shared folder; the same functions take a live source.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from corvida.session import scratch_path
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEEP, WINDOWS = 997, (50, 25_000)
 
 
@@ -97,13 +101,100 @@ def with_topics(events: DataFrame, topics: list[str]) -> DataFrame:
     return events.where(F.arrays_overlap(F.array("event_type"), F.array(*map(F.lit, topics))))
 
 
-def flushed(events: DataFrame, size: int = 201) -> DataFrame:
-    """Numbers the groups in which a buffer of ``size`` events would be sent, by order of time."""
-    from pyspark.sql import Window
-
-    day = F.to_date("ts")
-    per_day = events.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("k"))
-    before = per_day.select("day", F.coalesce(F.sum("k").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a day
-    rn = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    rows = events.withColumn("day", day).withColumn("rn", rn).join(F.broadcast(before), "day")
-    return rows.select("event_id", F.floor((F.col("before") + F.col("rn") - 1) / size).cast("long").alias("flush"))
+class _Buffer(StatefulProcessor):
+    """Holds events until there are ``size`` of them; a timer sends what is left after a time without a full buffer."""
+
+    def __init__(self, size: int, wait_ms: int, fields: list[str]):
+        self.size, self.wait_ms, self.fields = size, wait_ms, fields
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", ", ".join(self.fields))
+        self.sent = handle.getValueState("sent", "n long")
+
+    def _out(self, rows, flush: int, full: bool):
+        import pandas as pd
+
+        return pd.DataFrame([(*r, flush, full) for r in rows], columns=[*(f.split()[0] for f in self.fields), "flush", "full"])
+
+    def handleInputRows(self, key, rows, timer_values):
+        # what a trigger brings is put in order of time before it is numbered
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        fresh = [tuple(r) for pdf in rows for r in pdf[[f.split()[0] for f in self.fields]].itertuples(index=False)]
+        held += sorted(fresh)
+        sent = self.sent.get()[0] if self.sent.exists() else 0
+        while len(held) >= self.size:
+            yield self._out(held[: self.size], sent, True)
+            held, sent = held[self.size :], sent + 1
+        self.sent.update((sent,))
+        if self.wait_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        if held:
+            self.held.put([(t.to_pydatetime() if hasattr(t, "to_pydatetime") else t, int(i)) for t, i in held])
+            if self.wait_ms is not None:
+                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.wait_ms)
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timer_values, expired):
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        if held:
+            sent = self.sent.get()[0] if self.sent.exists() else 0
+            yield self._out(held, sent, False)
+            self.sent.update((sent + 1,))
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def flushed(events: DataFrame, size: int = 201, wait: float | None = None, lanes: int = 1) -> DataFrame:
+    """A stream of ts, event_id, flush (its number), full: events leave when a buffer holds ``size`` of them, or, not full,
+    ``wait`` seconds after the last event (None: never; with a wait a stream looks again and again, so it doesn't end by itself). A lane has a buffer and numbers of its own; more lanes
+    (by a hash of the event) share the work. A lane holds the events of one trigger at most, besides its buffer."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    fields = ["ts timestamp", "event_id long"]
+    rows = events.select("ts", "event_id", F.pmod(F.xxhash64("event_id"), F.lit(lanes)).cast("int").alias("lane"))
+    return rows.groupBy("lane").transformWithStateInPandas(_Buffer(size, None if wait is None else int(wait * 1000), fields), f"{', '.join(fields)}, flush long, full boolean", "Append", "None" if wait is None else "ProcessingTime")
+
+
+class Progress(StreamingQueryListener):
+    """Keeps a row for each batch of every stream that runs while it listens."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows = spark, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((str(p.id), p.name, p.batchId, p.numInputRows, p.timestamp))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self) -> DataFrame:
+        """query, name, batch, rows, at: the last word on each batch."""
+        rows = self.spark.createDataFrame(self.rows, "query string, name string, batch long, rows long, at string")
+        return rows.groupBy("query", "name", "batch").agg(F.max("rows").alias("rows"), F.max("at").alias("at"))
+
+
+@contextmanager
+def progress(spark: SparkSession) -> Iterator[Progress]:
+    """Listens while streams run inside; waits for events that are still under way at the end."""
+    seen = Progress(spark)
+    spark.streams.addListener(seen)
+    try:
+        yield seen
+    finally:
+        n = -1
+        while n != len(seen.rows):
+            n = len(seen.rows)
+            time.sleep(0.5)
+        spark.streams.removeListener(seen)
