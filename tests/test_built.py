@@ -104,8 +104,9 @@ def test_term_vectors(spark):
         rows.append((i, shape.format(rng.choice(words))))
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").repartition(4)
     built = TV.build(docs, dim=16)
-    near = {(r["query"], r["term"]) for r in TV.nearest(built, built.where("term in ('cat', 'car', 'bread')"), n=3).collect()}
-    assert near >= {("cat", "kitty"), ("car", "auto"), ("bread", "loaf")} and len(near) == 9
+    near = {(r["query"], r["term"]): r["score"] for r in TV.nearest(built, built.where("term in ('cat', 'car', 'bread')"), n=40).collect()}
+    assert min(near["cat", "kitty"], near["car", "auto"], near["bread", "loaf"]) > 0.8, near
+    assert max(near.get(("cat", t), 0) for t in ("auto", "loaf", "cheese", "road")) < 0.5, near
     again = {r["term"]: r["vector"] for r in TV.build(docs.repartition(2), dim=16).collect()}
     assert all(np.allclose(r["vector"], again[r["term"]], atol=1e-4) for r in built.collect())
     of = TV.of_documents(docs, built).collect()
@@ -118,10 +119,10 @@ def test_ppmi_and_factors_by_hand(spark):
     terms = TV.vocabulary(docs, least=1)
     assert [(r["term"], r["id"], r["df"]) for r in terms.orderBy("id").collect()] == [("aa", 0, 2), ("bb", 1, 2), ("cc", 2, 1), ("dd", 3, 1)]
     matrix = TV.ppmi(TV.neighbours(docs, terms))
-    assert {(r["a"], r["b"]): (r["n"], round(r["ppmi"], 6)) for r in matrix.collect()} == {k: v for a, b, v in ((0, 1, (2, round(math.log(1.5), 6))), (2, 3, (1, round(math.log(6), 6)))) for k in ((a, b), (b, a)) for v in (v,)}
+    assert {(r["a"], r["b"]): (r["n"], round(r["ppmi"], 6)) for r in matrix.collect()} == {k: v for a, b, v in ((0, 1, (2, round(math.log(3), 6))), (2, 3, (1, round(math.log(6), 6)))) for k in ((a, b), (b, a)) for v in (v,)}
     u = TV.factors(matrix, 4, dim=4)
     dense = np.zeros((4, 4))
-    dense[0, 1] = dense[1, 0] = math.log(1.5)
+    dense[0, 1] = dense[1, 0] = math.log(3)
     dense[2, 3] = dense[3, 2] = math.log(6)
     value, vector = np.linalg.eigh(dense)
     assert np.allclose(u @ u.T, (vector * np.maximum(value, 0)) @ vector.T, atol=1e-6)
