@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.plans import built, kinds, oracle_reports, tables, texts  # noqa: F401 (kinds adds its queries to tables, built to texts)
+from corvida.plans import built, kinds, oracle_reports, suggested, tables, texts  # noqa: F401 (kinds adds its queries to tables, built and suggested to texts)
 from corvida.plans.reports import REPORTS, Reports
 
 Query = Callable[[SparkSession, str], DataFrame]

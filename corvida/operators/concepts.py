@@ -99,6 +99,32 @@ def uncovered(scope: DataFrame, found: DataFrame, match_type: str = "both") -> D
     return scope.join(hit.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def outside(found: DataFrame, covered: DataFrame, names: DataFrame, scope: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Of each key and list: the documents the list doesn't cover, and the concepts in them.
+
+    found: doc_id, concept, exact. covered: doc_id, list. names: list. scope: doc_id, keys (one row each).
+    What a list covers is taken off what all documents have, so that no row is made for a document and
+    a list that lacks it. Returns keys..., list, concept, document_count, filter_count, match_count, exact_match_count."""
+    keys, listed = list(keys), [*keys, "list"]
+    covered = covered.select("doc_id", "list").distinct()
+    counts = (F.count(F.lit(1)).alias("match_count"), F.count(F.when(F.col("exact") == 1, F.lit(1))).alias("exact_match_count"))
+    inside = found.join(scope, "doc_id")
+    every = inside.groupBy(*keys, "concept").agg(*counts)
+    off = inside.join(covered, "doc_id").groupBy(*listed, "concept").agg(*counts).withColumnsRenamed({"match_count": "m", "exact_match_count": "e"})
+    size = scope.groupBy(*keys).agg(F.count(F.lit(1)).alias("document_count")).crossJoin(names.select("list").distinct())  # a row for each key and list
+    gone = scope.join(covered, "doc_id").groupBy(*listed).agg(F.count(F.lit(1)).alias("gone"))
+    size = size.join(gone, listed, "left").withColumn("filter_count", F.col("document_count") - F.coalesce("gone", F.lit(0)))
+    rest = lambda a, b: (F.col(a) - F.coalesce(b, F.lit(0))).alias(a)
+    rows = size.join(every, keys).join(off, [*listed, "concept"], "left")
+    return rows.select(*listed, "concept", "document_count", "filter_count", rest("match_count", "m"), rest("exact_match_count", "e"))
+
+
+def g2(a: Column, row: Column, n: Column, n0: Column) -> Column:
+    """Dunning's G2 of a word in ``a`` of n documents and in ``row`` of all n0."""
+    cells = [(a, row, n), (n - a, n0 - row, n), (row - a, row, n0 - n), (n0 - n - row + a, n0 - row, n0 - n)]
+    return sum((F.when(o > 0, o * F.ln(o * n0 / (r * c))).otherwise(0.0) for o, r, c in cells), F.lit(0.0)) * 2
+
+
 def unique_to(found: DataFrame, scope: DataFrame, n_docs: int, keys: tuple[str, ...], by: str = "concept") -> DataFrame:
     """Concepts more frequent inside a key than in the corpus, with Dunning's G2."""
     keys = list(keys)
@@ -106,9 +132,7 @@ def unique_to(found: DataFrame, scope: DataFrame, n_docs: int, keys: tuple[str,
     all_of = inside.join(totals(scope, keys), keys).join(corpus_counts(found, (by,)), by)
     n, n0 = F.col("total_count").cast("double"), F.lit(float(n_docs))
     a, row = F.col("a").cast("double"), F.col("df0").cast("double")
-    cells = [(a, row, n), (n - a, n0 - row, n), (row - a, row, n0 - n), (n0 - n - row + a, n0 - row, n0 - n)]
-    g2 = sum((F.when(o > 0, o * F.ln(o * n0 / (r * c))).otherwise(0.0) for o, r, c in cells), F.lit(0.0)) * 2
-    return all_of.where(a * n0 > row * n).select(*keys, by, F.col("a").alias("exact_match_count"), "total_count", F.round(g2, 4).alias("g2"))
+    return all_of.where(a * n0 > row * n).select(*keys, by, F.col("a").alias("exact_match_count"), "total_count", F.round(g2(a, row, n, n0), 4).alias("g2"))
 
 
 def with_examples(rows: DataFrame, hits: DataFrame, keys: list[str], score: Column, n: int = 3, label: str = "example_doc") -> DataFrame:

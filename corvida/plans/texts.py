@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,11 +162,16 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.orderBy(F.desc("cosine"), "a", "b").limit(300)
 
 
+def concept_vectors(r: Reports) -> DataFrame:
+    """term, vector: the concepts with the vectors of the same places."""
+    numbered = r.star.table("part").select(F.col("p_name").alias("term")).distinct().withColumn("vec_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))  # one row for each name
+    return numbered.join(r.star.table("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+
+
 def _terms(r: Reports) -> DataFrame:
     """The concepts with a vector each."""
-    numbered = r.star.table("part").select(F.col("p_name").alias("term")).distinct().withColumn("vec_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))  # one row for each name
     volume = C.volume(r.found, None, r.n_docs).select(F.col("concept").alias("term"), "exact_match_count", "relevance")
-    return numbered.join(r.star.table("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id").join(volume, "term")
+    return concept_vectors(r).join(volume, "term")
 
 
 _TERMS = f"""v AS (SELECT concept AS term, count(DISTINCT CASE WHEN exact = 1 THEN doc_id END) AS m FROM found GROUP BY 1),
@@ -219,20 +222,6 @@ def domain_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.neighbour_scores(terms.select("term", "vector"), lexicon)
 
 
-@query()
-def clusters_suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven clusters of concept vectors, of each the four nearest its centre; the nearest gives the label."""
-    terms = stored(_terms(Reports(ready(spark), sf_dir)).select("term", F.col("vector").cast("array<double>").alias("vector")), "terms")
-    data = terms.withColumn("features", array_to_vector("vector"))
-    model = KMeans(k=7, seed=32).fit(data)
-    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    rows = model.transform(data).select("term", "vector", F.col("prediction").alias("cluster")).join(F.broadcast(centres), "cluster")
-    rows = rows.withColumn("score", V.cosine(F.col("vector"), F.col("centre")))
-    w = Window.partitionBy("cluster").orderBy(F.desc("score"), "term")
-    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("cluster_label", F.first("term").over(w)).where("rank <= 4")
-    return rows.select("cluster", "cluster_label", "rank", "term", F.round("score", 5).alias("score"))
-
-
 # -- lists, threads, files --------------------------------------------------------------------
 
 
