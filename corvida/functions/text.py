@@ -90,6 +90,41 @@ def spreadsheet_index(letters: Column) -> Column:
     return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0), lambda acc, c: acc * 26 + c) - 1
 
 
+def highlighted(text: Column, spans: Column) -> Column:
+    """The text with its spans (arrays of start and end character, apart from each other) shown in red as HTML."""
+
+    def wrap(acc: Column, s: Column) -> Column:
+        start, end = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+        marked = F.concat(F.lit('<span style="color:red">{'), F.substring(acc, start + 1, end - start), F.lit("}</span>"))
+        return F.concat(F.substring(acc, F.lit(1), start), marked, F.substring(acc, end + 1, F.length(acc)))
+
+    return F.aggregate(F.reverse(F.array_sort(F.coalesce(spans, F.array().cast("array<array<int>>")))), text, wrap)
+
+
+def employee(status: Column) -> Column:
+    """Of ``Former Employee - Manager``: status, title, position. The status is what stands before the first dash, the
+    title what stands after the last, the position is the title, or Employee for an anonymous one."""
+    title = F.trim(F.substring_index(status, "-", -1))
+    position = F.when(F.contains(F.lower(title), F.lit("anonymous")), "Employee").otherwise(title)
+    return F.struct(F.trim(F.substring_index(status, "-", 1)).alias("status"), title.alias("title"), position.alias("position"))
+
+
+def rating_title(status: Column, stars: Column) -> Column:
+    """``Former Manager gave 4 Stars``."""
+    return F.concat_ws(" ", F.trim(F.substring_index(status, "Employee", 1)), employee(status)["position"], F.lit("gave"), stars.cast("int").cast("string"), F.lit("Stars"))
+
+
+def joined_texts(texts: Column) -> Column:
+    """Several texts as one, an edge between any two; nulls are passed over."""
+    return F.array_join(texts, f" {EDGE} ")
+
+
+def question_name(question_id: Column) -> Column:
+    """``QID5`` -> ``Q5``; null if there is no such id inside."""
+    number = F.regexp_extract(question_id, r"QID(\d+)", 1)
+    return F.when(number != "", F.concat(F.lit("Q"), number))
+
+
 #: The emotions by strength, and the blends of two.
 EMOTIONS = (
     ("Emotion 1", ("A:Ecstasy", "B:Admiration", "C:Terror", "D:Amazement", "E:Grief", "F:Loathing", "G:Rage", "H:Vigilance")),

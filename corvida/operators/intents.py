@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvida.functions import vectors as V
 
 TERMS, PAIR_TERMS, RELATED, SAME = 1000, 75, 0.6, 0.98
+#: Parts of an intent at least this alike say the same; a document above the score gets a label.
+PARTS_ALIKE, LABEL_ABOVE = 0.9, 0.5
 
 
 def _crossed(terms: DataFrame) -> DataFrame:
@@ -41,6 +43,18 @@ def pairs(scored: DataFrame, threshold: float = 1.0, first: int = PAIR_TERMS, ge
     return out
 
 
+def different(named: DataFrame, order: list[str], threshold: float = 0.998) -> DataFrame:
+    """Of (name, vector, ...) the rows that no earlier row is that similar to, whether that one stays or not.
+
+    Proposed intents are few: at most PAIR_TERMS times TERMS, compared in blocks of a thousand earlier rows."""
+    numbered = named.withColumn("at", F.row_number().over(Window.orderBy(*order)))  # as many as the proposals
+    earlier = numbered.select(F.struct(F.col("at").alias("a"), F.col("vector").alias("v")).alias("e"), F.floor(F.col("at") / 1000).alias("block"))
+    blocks = earlier.groupBy("block").agg(F.collect_list("e").alias("es"), F.min("e.a").alias("first"))
+    same = F.exists("es", lambda e: (e["a"] < F.col("at")) & (V.dot(e["v"], F.col("vector")) >= threshold))
+    bad = numbered.join(blocks, F.col("first") < F.col("at")).where(same).select("at").distinct()
+    return numbered.join(bad, "at", "left_anti").drop("at")
+
+
 def without_duplicates(scored: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Drops a term if any better one is that similar, whether that one stays or not."""
     ranked = scored.orderBy(F.desc("intent_score"), "term").limit(TERMS)
@@ -60,6 +74,30 @@ def document_scores(doc_terms: DataFrame, terms: DataFrame, intents: DataFrame)
     return best.groupBy("doc_id", "intent").agg(F.avg("s").alias("score"))
 
 
+def kept(intents: DataFrame, threshold: float = PARTS_ALIKE) -> DataFrame:
+    """The rows (intent, part, vector) of the intents that have one part or two parts less alike than the threshold.
+
+    An intent is defined by a handful of texts, so its vectors stand in one array. Like in a matrix of all
+    products each vector meets itself too. Rows without an intent or a vector go; repeated parts count once."""
+    rows = intents.dropna(subset=["intent", "vector"]).dropDuplicates(["intent", "part"])
+    vectors = rows.groupBy("intent").agg(F.collect_list("vector").alias("v"))
+    least = F.array_min(F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: V.dot(a, b)))))
+    return rows.join(vectors.where((F.size("v") == 1) | (least < threshold)).select("intent"), "intent", "left_semi")
+
+
+def labelled(scored: DataFrame, labels: list, threshold: float = LABEL_ABOVE, prefix: str = "") -> DataFrame:
+    """doc_id, intent, score and a column for each label, of (doc_id, intent, score): the documents whose best
+    score is above the threshold, with the best intent, the first in the order of ``labels`` on a tie.
+
+    ``labels`` names the columns, so they are as many as the caller's definitions; intents not among them,
+    null scores and documents without an id are left out. A label without a score in a document is null there."""
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("intent")) if labels else F.lit(0)
+    rows = scored.dropna(subset=["doc_id", "intent", "score"]).withColumn("place", place).where("place > 0")
+    wide = [F.max(F.when(F.col("place") == i + 1, F.col("score"))).alias(f"{prefix}{name}") for i, name in enumerate(labels)]
+    out = rows.groupBy("doc_id").agg(F.max_by("intent", F.struct("score", -F.col("place"))).alias("intent"), F.max("score").alias("score"), *wide)
+    return out.where(F.col("score") > threshold)
+
+
 def neighbour_scores(terms: DataFrame, lexicon: DataFrame, n: int = 5) -> DataFrame:
     """Of (term, vector) and (term, sentiment): the mean sentiment of the n most similar known terms, weighted by similarity."""
     known = terms.join(lexicon.where("sentiment <> 0"), "term").select(F.col("term").alias("known"), F.col("vector").alias("kv"), "sentiment")

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.functions import colors, fuzzy, slices, text, vectors
+from corvida.functions import colors, emotions, fuzzy, slices, text, vectors
 from corvida.operators import numbering
 from corvida.operators import concepts as C
 from corvida.plans.oracle_reports import BASE
@@ -308,6 +308,47 @@ def emotion_placement(r: Reports) -> DataFrame:
     return words.withColumn("at", text.emotion_of(F.col("word"))).where("at is not null").select("word", "at.list", "at.entry")
 
 
+_EMOTIONS = f"""SELECT DISTINCT doc_id, list AS name, entry AS value FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) JOIN
+    (SELECT word, min_by(list, k) AS list, min_by(entry, k) AS entry FROM (SELECT word, k, list, min(entry) AS entry FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+     JOIN (VALUES {_EMOTION_SQL}) v(k, list, entry) ON contains(lower(entry), word) GROUP BY ALL HAVING count(*) = 1) GROUP BY 1) USING (word)"""
+
+
+@query(_EMOTIONS, base=False)
+def emotions_by_document(r: Reports) -> DataFrame:
+    """Each document's emotions as metadata, by the lexicon."""
+    return emotions.placed(r.star.table("documents").select("doc_id", "text"))
+
+
+@query(_EMOTIONS, base=False)
+def emotions_by_hook(r: Reports) -> DataFrame:
+    """The same through a hook that runs in Arrow batches."""
+    return emotions.placed(r.star.table("documents").select("doc_id", "text"), "lexicon_arrow")
+
+
+_STATUS = "c_mktsegment || ' Employee - ' || CASE WHEN c_nationkey % 5 = 0 THEN 'Anonymous Employee' ELSE c_name END"
+
+
+@query(f"""SELECT c_custkey, trim(split_part(s, '-', 1)) AS status, t AS title, trim(split_part(s, 'Employee', 1)) || ' ' || CASE WHEN contains(lower(t), 'anonymous') THEN 'Employee' ELSE t END || ' gave ' || (c_nationkey % 5 + 1)::INT || ' Stars' AS heading
+    FROM (SELECT *, trim(string_split(s, '-')[-1]) AS t FROM (SELECT *, {_STATUS} AS s FROM customer))""", base=False)
+def employee_titles(r: Reports) -> DataFrame:
+    """Employee statuses of scraped ratings, taken apart, with a heading."""
+    rows = r.star.table("customer").withColumn("s", F.expr(_STATUS))
+    found = text.employee(F.col("s"))
+    return rows.select("c_custkey", found["status"].alias("status"), found["title"].alias("title"), text.rating_title(F.col("s"), F.col("c_nationkey") % 5 + 1).alias("heading"))
+
+
+@query("SELECT conv_id, string_agg(text, ' ¶ ' ORDER BY turn) AS text FROM conversations GROUP BY 1", base=False)
+def texts_joined(r: Reports) -> DataFrame:
+    """The answers of one respondent as one document."""
+    turns = r.star.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))  # a document's own texts
+    return turns.select("conv_id", F.nullif(text.joined_texts(F.transform("t", lambda x: x["text"])), F.lit("")).alias("text"))
+
+
+@query("SELECT p_partkey, 'Q' || p_partkey AS question FROM part", base=False)
+def question_names(r: Reports) -> DataFrame:
+    return r.star.table("part").select("p_partkey", text.question_name(F.concat(F.lit("survey/QID"), "p_partkey")).alias("question"))
+
+
 # -- dates ------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvida.functions import encoding as E
+from corvida.functions import text as T
 from corvida.functions import vectors as V
 from corvida.operators import boilerplate as B
 from corvida.operators import concept_lists as L
@@ -15,6 +17,7 @@ from corvida.operators import intents as I
 from corvida.operators import language, similarity
 from corvida.plans.oracle_reports import BASE
 from corvida.plans.reports import Reports
+from corvida.plans.star import STRING_FIELDS
 from corvida.session import ready, scratch_path, stored
 from corvida.sources import files
 from corvida.streaming import jobs
@@ -122,6 +125,14 @@ def boilerplate_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.removed(_docs(spark, sf_dir), found).select("doc_id", "text", F.size("removed").alias("n_removed"))
 
 
+@query()
+def boilerplate_highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with the spans that would be removed shown in red."""
+    grams = _grams(spark, sf_dir)
+    found = B.spans(grams, stored(B.weights(grams), "boilerplate"))
+    return B.removed(_docs(spark, sf_dir), found).select("doc_id", T.highlighted(F.col("original_text"), F.col("removed")).alias("text"))
+
+
 @query("""SELECT doc_id, tokens, before, before < 1000000 AS counted FROM (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM
     (SELECT doc_id, CASE WHEN n < 7 THEN 0 ELSE n END AS tokens FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+|\\n')) AS n FROM documents)))""")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +217,48 @@ def intent_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, intent, round(avg(s), 5) + 0.0 AS score FROM (SELECT doc_id, intent, part, max(s) AS s FROM found JOIN s ON term = concept WHERE exact = 1 GROUP BY ALL) GROUP BY ALL""")
 def intent_doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reports(ready(spark), sf_dir)
-    rn = F.row_number().over(Window.partitionBy("label", F.col("vec_id") % 2).orderBy("vec_id"))
-    parts = r.star.table("embeddings").withColumn("rn", rn).where("rn = 1").select(F.col("label").alias("intent"), (F.col("vec_id") % 2).alias("part"), F.col("embedding").alias("vector"))
     doc_terms = r.found.where("exact = 1").select("doc_id", F.col("concept").alias("term"))
-    return I.document_scores(doc_terms, _terms(r).select("term", "vector"), parts).select("doc_id", "intent", (F.round("score", 5) + 0.0).alias("score"))  # no minus zero
+    return I.document_scores(doc_terms, _terms(r).select("term", "vector"), _intents(r)).select("doc_id", "intent", (F.round("score", 5) + 0.0).alias("score"))  # no minus zero
+
+
+_PARTS = "(SELECT label, vec_id % 2 AS part, embedding AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) = 1)"
+_KEPT = f"(SELECT label FROM (SELECT a.label, count(DISTINCT a.part) AS n, min({_DOT.format(a='a.v', b='b.v')}) AS least FROM {_PARTS} a JOIN {_PARTS} b USING (label) GROUP BY 1) WHERE n = 1 OR least < 0.9)"
+
+
+def _intents(r: Reports) -> DataFrame:
+    """intent, part, vector: each label stands for an intent, its first vectors of even and odd ids for its parts."""
+    rn = F.row_number().over(Window.partitionBy("label", F.col("vec_id") % 2).orderBy("vec_id"))
+    return r.star.table("embeddings").withColumn("rn", rn).where("rn = 1").select(F.col("label").alias("intent"), (F.col("vec_id") % 2).alias("part"), F.col("embedding").alias("vector"))
+
+
+@query(f"SELECT label AS intent, part, list_transform(v, lambda x: round(x::DOUBLE, 5)) AS vector FROM {_PARTS} WHERE label IN {_KEPT}")
+def intents_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intents whose parts say different things."""
+    return I.kept(_intents(Reports(ready(spark), sf_dir))).withColumn("vector", F.transform("vector", lambda x: F.round(x.cast("double"), 5)))
+
+
+@query(f"""WITH {BASE}, s AS (SELECT * FROM ({{}}) WHERE intent IN {_KEPT}), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, intent) = 1),
+    wide AS (SELECT doc_id, {', '.join(f"max(score) FILTER (intent = {i}) AS intent_{i}" for i in range(10))} FROM s GROUP BY 1)
+    SELECT doc_id, intent, score, list_filter(['order_priority: ' || order_priority, 'order_status: ' || order_status, 'segment: ' || segment, 'total_price: ' || trunc(total_price)::BIGINT], lambda x: x IS NOT NULL) AS metadata, wide.* EXCLUDE (doc_id)
+    FROM best JOIN wide USING (doc_id) JOIN docs USING (doc_id) WHERE score > 0.5""".replace("{}", SQL["intent_doc_scores"]))
+def intent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an intent above 0.5: the best one, its score, the metadata as ``name: value`` and the scores of all intents."""
+    r = Reports(ready(spark), sf_dir)
+    terms = r.found.where("exact = 1").select("doc_id", F.col("concept").alias("term"))
+    scored = I.document_scores(terms, _terms(r).select("term", "vector"), I.kept(_intents(r))).withColumn("score", F.round("score", 5) + 0.0)
+    value = [F.concat(F.lit(f"{f}: "), F.col(f)) for f in STRING_FIELDS] + [F.concat(F.lit("total_price: "), F.col("total_price").cast("long").cast("string"))]
+    metadata = r.docs.select("doc_id", F.filter(F.array(*value), lambda x: x.isNotNull()).alias("metadata"))
+    return I.labelled(scored, list(range(10)), prefix="intent_").join(metadata, "doc_id")
+
+
+@query(r"SELECT doc_id, length(text) AS length, len(regexp_extract_all(text, '[^\x00-\x7f]')) AS n_damaged, text AS repaired, true AS clean_stays FROM documents")
+def mojibake_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text damaged twice (its UTF-8 bytes read as single bytes) and repaired; the text itself stays as it is."""
+    docs = _docs(spark, sf_dir)
+    damaged = E.misread(E.misread(F.col("text")))
+    repaired = E.repaired(damaged)
+    marks = F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x7f]")).cast("long")
+    return docs.select("doc_id", F.length("text").cast("long").alias("length"), marks.alias("n_damaged"), repaired.alias("repaired"), (E.repaired(F.col("text")) == F.col("text")).alias("clean_stays"))
 
 
 @query(f"""WITH {BASE}, {_TERMS}, lex AS (SELECT term, (row_number() OVER (ORDER BY term) % 7 - 3)::DOUBLE AS s FROM terms),
