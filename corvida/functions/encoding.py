@@ -21,7 +21,7 @@ _TWO, _LONG = rf"[\xC2-\xDF]{_NEXT}", rf"(?:[\xE0-\xEF]{_NEXT}{{2}}|[\xF0-\xF4]{
 #: What shows that a text was misread: Â or Ã, the leads of western letters and signs, with a follower; the leads
 #: of quotes, dashes, currencies and emoji with theirs; or two further characters side by side. A single one of
 #: another kind may be clean text, such as é before a fixed space and a closing quote.
-_SURE = rf"[\xC2\xC3]{_NEXT}|\xE2[€‚„]{_NEXT}|\xF0Ÿ{_NEXT}{{2}}|{_LONG}{{2}}|(?:{_TWO}){{2}}"
+_SURE = rf"(?=[\xC2-\xF4])(?:[\xC2\xC3]{_NEXT}|\xE2[€‚„]{_NEXT}|\xF0Ÿ{_NEXT}{{2}}|{_LONG}{{2}}|(?:{_TWO}){{2}})"
 _RUN = rf"(?:{_LONG}|{_TWO})+"
 
 
@@ -36,14 +36,16 @@ def _read_anew(run: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(raw.cast("string")), run)
 
 
-def _once(text: Column) -> Column:
+def _joined(text: Column) -> Column:
     rest, runs = F.split(text, _RUN), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
-    pieces = F.zip_with(rest, runs, lambda a, b: F.concat(a, F.coalesce(_read_anew(b), F.lit(""))))
-    return F.when(F.regexp_like(text, F.lit(_SURE)), F.array_join(pieces, "")).otherwise(text)
+    return F.array_join(F.zip_with(rest, runs, lambda a, b: F.concat(a, F.coalesce(_read_anew(b), F.lit("")))), "")
 
 
 def repaired(text: Column, times: int = 3) -> Column:
-    """The text with its misread runs read anew. Null stays null, empty stays empty; a text without a sure sign is unchanged."""
-    for _ in range(times):
-        text = F.get(F.transform(F.array(text), _once), F.lit(0))  # a step names its text several times: bound once
-    return text
+    """The text with its misread runs read anew. Null stays null, empty stays empty; a text without a sure sign is
+    unchanged and looked at once."""
+    if not times:
+        return text
+    # a step names its text several times: bound once
+    again = F.get(F.transform(F.array(_joined(text)), lambda t: repaired(t, times - 1)), F.lit(0))
+    return F.when(F.regexp_like(text, F.lit(_SURE)), again).otherwise(text)
