@@ -1,7 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its lower-case words and their stems (the first four, five and six bytes
-of each), hashed into a fixed number of buckets; a term counts once a text. The score is the logistic function of
+Terms of a text are its lower-case words and their stems (the first four, five, six and eight bytes
+of each), hashed into a fixed number of buckets; a term counts once a text, and as terms of their own
+if the text has it twice and three times: a stem that clean texts have by chance, toxic ones repeat.
+The score is the logistic function of
 
     w0 + sum of w_i over its terms + sum of <v_i, v_j> over pairs of its terms,
 
@@ -11,10 +13,11 @@ the number of terms.
 
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
 their doc_id. The machine gets the terms that tell the labels apart beyond chance in that
-sample, alone (``LEAST_Z2``) or as one of a pair. All pairs of whole words are counted, by
+sample, alone or as one of a pair. Alone asks for ``least_rows`` rows and a squared z of ``least_z2``;
+with 1 and 0 every term of the sample reaches the machine. All pairs of whole words are counted, by
 Spark, over ``PAIR_ROWS`` of those documents, toxic and clean ones in equal numbers if there
 are as many; a pair counts if its share of toxic rows departs from what its terms have alone by
-more than chance gives in so many pairs. Both bounds are parameters. Every document is then
+more than chance gives in so many pairs. All bounds are parameters. Every document is then
 scored whole, in one pass over the table without a shuffle.
 
 Cases: null and empty texts have no terms and get the score of a text without any known
@@ -42,9 +45,12 @@ BUCKETS = 1 << 20
 FACTORS = 8
 THRESHOLD = 0.7
 #: The least square of a term's z statistic: some chance terms in a million pass it.
-LEAST_Z2 = 22.0
-_STEM_BYTES = (4, 5, 6)
-_EPOCHS, _RATE, _DECAY = 80, 0.05, 1e-4
+LEAST_Z2, LEAST_ROWS = 22.0, 3
+_STEM_BYTES = (4, 5, 6, 8)
+#: How often a text has a term for it to count anew.
+_AGAIN = (2, 3)
+#: Of ``_EPOCHS`` the first ``_LINEAR`` move the bias and the linear weights alone, so pairs learn what these leave.
+_EPOCHS, _LINEAR, _RATE, _DECAY, _PAIR_DECAY = 80, 30, 0.05, 1e-4, 1e-3
 _BLOCK = 1_024
 
 
@@ -62,6 +68,20 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([whole, *map(words.mix, stems)]) % np.uint64(BUCKETS), np.tile(row, 1 + len(stems))
 
 
+def _again(bucket: np.ndarray, times: int) -> np.ndarray:
+    """The bucket of a term that a text has so many times."""
+    return (words.mix(bucket.astype(np.uint64) + np.uint64(times << 32)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _met(row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """row * BUCKETS + bucket of each distinct term of a row, terms met again among them; sorted."""
+    key = np.sort(row * BUCKETS + bucket.astype(np.int64))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    times, key = np.diff(np.append(at, len(key))), key[at]
+    row, bucket = np.divmod(key, BUCKETS)
+    return words.distinct(np.concatenate([key, *(row[some] * BUCKETS + _again(bucket[some], t) for t in _AGAIN for some in (times >= t,))]))
+
+
 @dataclass
 class Model:
     """Weights by term; place[b] is the term of bucket b, or -1."""
@@ -71,6 +91,11 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray
 
+    def __post_init__(self) -> None:
+        """Marks the buckets that matter: those of terms, and those whose repeats are terms."""
+        every = np.arange(BUCKETS)
+        self.watched = np.logical_or.reduce([self.place >= 0, *(self.place[_again(every, t)] >= 0 for t in _AGAIN)])
+
     def scores(self, term: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores of rows whose distinct terms are term[first[i]:first[i + 1]]."""
         n = len(first) - 1
@@ -83,6 +108,8 @@ class Model:
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct known terms of each row, and where each row begins."""
         bucket, row = _terms(data, offsets)
+        some = self.watched[bucket]
+        row, bucket = np.divmod(_met(row[some], bucket[some]), BUCKETS)
         term = self.place[bucket]
         key = words.distinct((row * len(self.weights) + term)[term >= 0]) if len(term) else np.empty(0, np.int64)
         row, term = np.divmod(key, max(1, len(self.weights)))
@@ -99,6 +126,8 @@ def _fit(term: np.ndarray, first: np.ndarray, label: np.ndarray, n_terms: int, s
     batch = max(256, n // 8)
     for epoch in range(_EPOCHS):
         rate = _RATE * (1 - epoch / _EPOCHS) + 1e-3
+        if epoch == _LINEAR:
+            step, moments = 0, [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         order = rng.permutation(n)
         for at in (order[i : i + batch] for i in range(0, n, batch)):
             k = size[at]
@@ -112,9 +141,9 @@ def _fit(term: np.ndarray, first: np.ndarray, label: np.ndarray, n_terms: int, s
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[at]) / len(at)
             e = error[row]
             pull = e[:, None] * (total[row] - v)
-            grads = [np.array([error.sum()]), np.bincount(t, e, n_terms) + _DECAY * params[1], np.stack([np.bincount(t, pull[:, f], n_terms) for f in range(FACTORS)], axis=1) + _DECAY * params[2]]
+            grads = [np.array([error.sum()]), np.bincount(t, e, n_terms) + _DECAY * params[1], np.stack([np.bincount(t, pull[:, f], n_terms) for f in range(FACTORS)], axis=1) + _PAIR_DECAY * params[2]]
             step += 1
-            for p, g, (m, s) in zip(params, grads, moments, strict=True):
+            for p, g, (m, s) in list(zip(params, grads, moments, strict=True))[: 2 if epoch < _LINEAR else 3]:
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -196,7 +225,7 @@ def _paired(parts: list[np.ndarray], label: np.ndarray, clean: np.ndarray, toxic
     return out & ~alone
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair_rows: int = PAIR_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair_rows: int = PAIR_ROWS, least_z2: float = LEAST_Z2, least_rows: int = LEAST_ROWS) -> Model:
     """Fits the machine on (doc_id, text) and (doc_id, toxic)."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -209,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair
             for rows, data, offsets in words.pieces(batch):
                 bucket, row = _terms(data, offsets)
                 columns = []
-                for some in (slice(None), slice(len(bucket) // (1 + len(_STEM_BYTES)))):  # whole words come first
-                    key = words.distinct(row[some] * BUCKETS + bucket[some].astype(np.int64))
+                whole = slice(len(bucket) // (1 + len(_STEM_BYTES)))  # whole words come first
+                for key in (_met(row, bucket), words.distinct(row[whole] * BUCKETS + bucket[whole].astype(np.int64))):
                     of_row, distinct = np.divmod(key, BUCKETS)
                     first = np.searchsorted(of_row, np.arange(len(offsets)))
                     distinct = distinct.astype(np.int32)
@@ -239,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair
     both = (F.col("c") + F.col("t")) / (n0 + n1)
     gap = F.col("t") / n1 - F.col("c") / n0
     z2 = gap * gap / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
-    alone = by_bucket.where((F.col("c") + F.col("t") >= 3) & (z2 >= LEAST_Z2)).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
+    alone = by_bucket.where((F.col("c") + F.col("t") >= least_rows) & (z2 >= least_z2)).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
 
     # the pairs: half of the rows toxic if there are as many
     of_toxic = min(n1, max(pair_rows // 2, pair_rows - n0))
@@ -251,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pair
         times[kind][r] += 1
     is_alone = np.zeros(BUCKETS, bool)
     is_alone[alone] = True
-    met = np.flatnonzero((times[0] + times[1] >= 3))
+    met = np.flatnonzero(times[0] + times[1] >= least_rows)
     index = np.full(BUCKETS, -1, np.int32)
     index[met] = np.arange(len(met))
     parts = [index[r][index[r] >= 0] for _, r in rows]

@@ -244,6 +244,45 @@ def test_op6_held_out_accuracy(spark):
     got = queries.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) >= 0.95
+    toxic = [r["predicted"] for r in got if r["toxic"]]
+    assert sum(toxic) / len(toxic) >= 0.8
+    assert sum(r["predicted"] for r in got if not r["toxic"]) <= 1
+
+
+def test_op6_repeated_stems(spark):
+    """Clean texts have a stem once, toxic ones twice and more, with other endings."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = int(rng.random() < 0.3)
+        w = [f"{rng.choice('abcdefgh')}filler{rng.randrange(50)}" for _ in range(40)]
+        w += [f"schimpf{rng.randrange(10**6)}" for _ in range(rng.randint(2, 5) if toxic else 1)]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in got) / len(got) > 0.97
+
+
+def test_op6_terms_met_again():
+    """A term is there once a text; twice and three times make terms of their own."""
+    row, bucket = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 5, 5, 5, 5, 5])
+    want = sorted({0 * toxicity.BUCKETS + b for b in (5, *(int(toxicity._again(np.array([5]), t)[0]) for t in (2, 3)))}
+                  | {toxicity.BUCKETS + b for b in (5, int(toxicity._again(np.array([5]), 2)[0]))} | {2 * toxicity.BUCKETS + 5})
+    assert toxicity._met(row, bucket).tolist() == want
+    assert toxicity._met(row[:0], bucket[:0]).tolist() == []
+
+
+def test_op6_every_term(spark):
+    """Without the screens a word of one toxic row reaches the machine."""
+    rows = [(i, f"plain text number{i}" + " onlyhere" * (i == 7)) for i in range(60)]
+    labels = [(i, int(i == 7 or i % 5 == 0)) for i in range(60)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = {r["doc_id"] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+    assert 7 in seen
+    bucket = toxicity._terms(np.frombuffer(b"onlyhere", np.uint8), np.array([0, 8]))[0]
+    assert (toxicity.train(docs, marks, least_z2=0.0, least_rows=1).place[bucket] >= 0).all()
+    assert (toxicity.train(docs, marks).place[bucket] < 0).all()
 
 
 def test_op6_pairs_of_words(spark):
