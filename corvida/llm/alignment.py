@@ -105,6 +105,8 @@ class PieceSide:
             raise ValueError("a piece of this vocabulary goes on behind a space")
         self.raw = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.width = np.array([len(x) for x in self.raw], np.int64)
+        # the model gives an empty text no ids, so a lone space, as at the end of a text, is learned behind a letter
+        self.space = self.model.encode("a ")[len(self.model.encode("a")) :]
         self._empty()
 
     def _empty(self) -> None:
@@ -142,6 +144,7 @@ class PieceSide:
                 new = np.arange(len(found))
             raw = [data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
             got = self.model.encode([x[1:].decode("utf-8", "replace") for x in raw], num_threads=1)
+            got = [self.space if x == b" " else g for g, x in zip(got, raw, strict=True)]
             exact = np.array([b"".join(map(self.raw.__getitem__, g)) == x for g, x in zip(got, raw, strict=True)])
             count = np.array([len(g) for g in got], np.int64)
             total = int(count.sum())

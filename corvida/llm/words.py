@@ -37,18 +37,22 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+def _factors(n: int) -> np.ndarray:
+    """An odd factor for each place in a word: powers first, then random ones, for by powers alone
+    long words of two letters in regular turns (Thue-Morse, from 1,024 bytes on) would have one hash."""
+    out = np.full(n, _BASE, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    out[_POWERS:] = mix(np.arange(_POWERS, n, dtype=np.uint64) * _GOLD) | np.uint64(1)
+    return out
 
 
 #: A random 64-bit value for every byte; the second table gives A-Z the values of a-z.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_BASE = 0xD1342543DE82EF95
-_POW = _powers(1 << 12, _BASE)
+_BASE, _POWERS = 0xD1342543DE82EF95, 512
+_FACTORS = _factors(1 << 12)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,22 +98,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACES) ->
 
 def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each span's bytes. Spans must be disjoint, in order and not empty."""
-    global _POW
+    global _FACTORS
     out = np.empty(len(start), np.uint64)
     table, at = _LOWER if lower else _BYTE, 0
     while at < len(start):
         to = min(max(at + 1, int(np.searchsorted(start, start[at] + _STEP_BYTES))), len(start))
         s, e = start[at:to], end[at:to]
         length = (e - s).astype(np.int32)
-        if (longest := int(length.max())) > len(_POW):
-            _POW = _powers(2 * longest, _BASE)
+        if (longest := int(length.max())) > len(_FACTORS):
+            _FACTORS = _factors(2 * longest)
         ends = np.cumsum(length, dtype=np.int32)
         first = ends - length
         step = np.zeros(int(e[-1] - s[0]) + 1, np.int8)
         step[s - s[0]] = 1
         step[e - s[0]] -= 1
         value = table[data[s[0] : e[-1]][np.cumsum(step[:-1], dtype=np.int8).view(bool)]]
-        value *= _POW[np.arange(ends[-1], dtype=np.int32) - np.repeat(first, length)]
+        value *= _FACTORS[np.arange(ends[-1], dtype=np.int32) - np.repeat(first, length)]
         out[at:to] = mix(np.add.reduceat(value, first) + length.astype(np.uint64) * _GOLD)
         at = to
     return out

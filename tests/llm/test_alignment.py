@@ -102,6 +102,29 @@ def test_brute_force(spark, rows, common):
     assert sorted(got, key=key) == sorted(aligned(rows)[0], key=key)
 
 
+def regular(n, a, b):
+    """A Thue-Morse word: its turns of two letters cancel out where places count by powers."""
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return "".join(out)
+
+
+def odd_texts():
+    """Single spaces at the end, behind every kind of letter; long regular words; pieces put together at random."""
+    rng = random.Random(5)
+    parts = [*"  \t\n\x0b\x0c\x1c\x85\xa0\u2009\u3000\u200b\u180e\ufeffaBz1.'’é\u0301中🙂▁\x00٠½_\U0010ffff", "  ", "   ", "\r\n", "'s", "<s>", "<unk>", "<0x0A>", "<|endoftext|>", "Straße", "the"]
+    out = ["a ", "é ", "中 ", "🙂 ", "word ", "two words ", "a\n ", ". ", "\x00 ", " ", ""]
+    out += [regular(n, *x) for n in (512, 1024, 4096) for x in ("ab", "ba")] + [regular(2048, "x", "y") + " " + regular(2048, "y", "x")]
+    return out + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+
+
+def test_odd_texts_by_brute_force(spark):
+    rows = list(enumerate(odd_texts()))
+    got = [tuple(r[c] for c in COLUMNS) for r in alignment.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted(aligned(rows)[0])
+
+
 def test_machine_in_small_steps(rows):
     """The machine alone, fed row by row with a step after each: the same groups, links and hashes."""
     one, other = sides()
