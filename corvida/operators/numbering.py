@@ -15,7 +15,7 @@ from corvida.session import stored
 _PART = "__part"
 
 
-def _ranged(df: DataFrame, order: list[str], within: list[str], parts: int | None) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str | Column], within: list[str], parts: int | None) -> DataFrame:
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written, so that a range's number stays the same each time the rows are read
@@ -35,7 +35,7 @@ def _joined(rows: DataFrame, base: DataFrame, within: list[str]) -> DataFrame:
     return rows.join(base, on).drop("__range", *(f"__{c}" for c in within), _PART)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "number", within: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, *order: str | Column, name: str = "number", within: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Adds what row_number() over (partition by within order by order) would give. Rows that are
     equal in ``order`` stay in one range, so it should tell rows apart."""
     by, order = list(within), list(order)

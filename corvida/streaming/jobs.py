@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
-from corvida.session import scratch_path
+from corvida.operators.numbering import numbered
+from corvida.session import scratch_path, stored
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -54,13 +55,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "n")
 
 
-def _version(spark: SparkSession, path: str, below: int) -> str | None:
-    """The newest finished version of a table under that number; what is in the folder decides, not this process."""
+def _versions(spark: SparkSession, path: str, below: int) -> list[str]:
+    """The finished versions of a table under that number, the newest last; what is in the folder decides, not this process."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
     done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and int(n[1:]) < below and system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return f"{path}/v{max(done)}" if done else None
+    return [f"{path}/v{n}" for n in sorted(done)]
+
+
+def _version(spark: SparkSession, path: str, below: int) -> str | None:
+    """The newest of them."""
+    return (_versions(spark, path, below) or [None])[-1]
 
 
 def retained(events: DataFrame, keep: Callable[[DataFrame], DataFrame], name: str, path: str | None = None) -> DataFrame:
@@ -160,6 +166,37 @@ def flushed(events: DataFrame, size: int = 201, wait: float | None = None, lanes
     return rows.groupBy("lane").transformWithStateInPandas(_Buffer(size, None if wait is None else int(wait * 1000), fields), f"{', '.join(fields)}, flush long, full boolean", "Append", "None" if wait is None else "ProcessingTime")
 
 
+def flushes(events: DataFrame, size: int = 201, path: str | None = None) -> DataFrame:
+    """ts, event_id, flush (its number), full of every event: those that left when the one buffer held ``size`` of
+    them, and those that it still holds, with the number they will leave by (``full`` is false). Each trigger numbers
+    what it brings and what was held by ranges of (ts, event_id), so no task has all events. Batch n makes version n
+    out of the newest before it; a stream started again on the same ``path`` goes on with what the buffer held."""
+    spark, path = events.sparkSession, path or scratch_path(events.sparkSession, "flushes")
+    schema = "ts timestamp, event_id long, flush long, full boolean"
+
+    def send(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return  # the version before stays the newest
+        spark, rows, sent = batch.sparkSession, batch.select("ts", "event_id"), 0
+        if before := _version(spark, path, number):
+            held = spark.read.schema(schema).parquet(before)
+            # events that wait have the number that comes next
+            sent = held.agg(F.max(F.col("flush") + F.col("full").cast("long"))).first()[0]
+            rows = rows.unionByName(held.where("not full").select("ts", "event_id"))
+        rows = stored(rows, "waiting")
+        ordered = numbered(rows, F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+        flush = F.lit(sent) + F.floor((F.col("number") - 1) / size).cast("long")
+        out = ordered.select("ts", "event_id", flush.alias("flush"), (flush < sent + rows.count() // size).alias("full"))
+        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    _run(events, lambda w: w.foreachBatch(send).start(), path)
+    done = _versions(spark, path, 1 << 62)
+    if not done:
+        return spark.createDataFrame([], schema)
+    read = spark.read.schema(schema)
+    return read.parquet(*done).where("full").unionByName(read.parquet(done[-1]).where("not full"))
+
+
 class Progress(StreamingQueryListener):
     """Keeps a row for each batch of every stream that runs while it listens."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvida.operators import boilerplate, numbering, search
 from corvida.operators import term_vectors as TV
+from corvida.plans.texts import stream_flushes
 from corvida.streaming import jobs, replay
 
 
@@ -149,6 +150,36 @@ def test_flushes_over_batches_and_a_restart(spark, tmp_path):
     assert {i for i, (f, _) in got.items() if f <= 1} >= set(range(17))
 
 
+def test_every_event_has_its_flush(spark, tmp_path):
+    """What waits in the buffer at the end is there too, and events without a time come last."""
+    rows = [(i, None if i % 50 == 7 else f"2024-01-01 00:00:{i % 60:02d}", 1, "click", 1.0, None) for i in range(417)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/written")
+    (part,) = (tmp_path / "written").glob("*.parquet")
+    part.rename(tmp_path / "events.parquet")
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))]
+    got = stream_flushes(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k // 201) for k, i in enumerate(order))
+
+
+def test_flushes_by_ranges_over_batches_and_restarts(spark, tmp_path):
+    def run():
+        stream = jobs.source(spark, f"{tmp_path}/in/*", name="*.parquet", files_per_trigger=1)
+        return {r["event_id"]: (r["flush"], r["full"]) for r in jobs.flushes(stream, 10, f"{tmp_path}/kept").collect()}
+
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    assert run() == {}
+    events(spark, f"{tmp_path}/in", "a", range(0, 4))
+    assert run() == {i: (0, False) for i in range(4)}
+    events(spark, f"{tmp_path}/in", "b", range(4, 20))
+    assert run() == {i: (i // 10, True) for i in range(20)}
+    events(spark, f"{tmp_path}/in", "c", range(20, 23))
+    events(spark, f"{tmp_path}/in", "d", [])
+    assert run() == {i: (i // 10, i < 20) for i in range(23)}
+    events(spark, f"{tmp_path}/in", "e", range(23, 45))
+    assert run() == {i: (i // 10, i < 40) for i in range(45)}
+
+
 def test_replay_goes_round_and_on(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"e{i}") for i in range(12)], "event_id long, name string")
     first = replay.replayed(rows, ["event_id"], seed=3, batches=2, path=f"{tmp_path}/r").collect()
