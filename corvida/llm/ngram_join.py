@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from corvida.llm import words
 from corvida.llm.common import ROW, commonest, numbered, one_each
 from corvida.operators.components import connected_components, roots
-from corvida.session import ready, stored
+from corvida.session import ready, removed, stored, written
 
 SHINGLE = 5
 #: The similarity, as a fraction of whole numbers.
@@ -402,11 +402,12 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bins = number_of_bins(docs)
-    seen = stored(_signatures(docs, bins), "signatures", "kind")
+    seen, path = written(_signatures(docs, bins), "signatures", "kind")
     of_docs = seen.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2")
     classes = of_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     classes = stored(classes.withColumnRenamed("s1", "signature"), "classes")
     table = _table(stored(_frequencies(seen.where("kind = 1")), "frequencies"))
+    removed(spark, f"{path}/kind=1")  # the shingles of all texts, counted now; of_docs reads only kind 0
 
     found = stored(_candidates(_postings(docs, table, bins), bins), "candidates", "kind")
     pairs = found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.min("q").alias("asked"), F.max("r").alias("reaches"))

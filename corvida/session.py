@@ -56,14 +56,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvida/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage is cut and
-    a lost executor costs only the tasks that read it again."""
+def written(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str]:
+    """What ``stored`` gives, and the path it lies under."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)  # a table without rows has no file to take a schema from
+    return spark.read.schema(df.schema).parquet(path), path  # a table without rows has no file to take a schema from
+
+
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: the lineage is cut and
+    a lost executor costs only the tasks that read it again."""
+    return written(df, name, *partition_by)[0]
 
 
 def removed(spark: SparkSession, *paths: str) -> None:

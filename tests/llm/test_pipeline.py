@@ -1,8 +1,11 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import sys
+from pathlib import Path
+from urllib.parse import urlparse
 
 from corvida.llm import decontamination, exact_dedup, ngram_join, packing, queries, toxicity
+from corvida.session import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,6 +31,17 @@ def test_stages(spark):
     assert packed == {tuple(r) for r in packing.pack_documents(docs).select("doc_id", "start", "length", "ids_crc32").collect()}
 
 
+def test_counted_shingles_leave_the_disk(spark):
+    """While candidates are found and verified, the shingles that were only to be counted take no room."""
+    folder = Path(urlparse(shared_dir(spark)).path, "corvida")
+    before = set(folder.glob("signatures-*"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = ngram_join.linked_components(docs)
+    (table,) = set(folder.glob("signatures-*")) - before
+    assert list(table.glob("kind=0/*.parquet")) and not list(table.glob("kind=1/*"))
+    assert found.count() == docs.count()
+
+
 def test_same_rows_as_sql(spark):
     sys.path.insert(0, "tests")
     from comparing import of_duckdb, of_spark
