@@ -44,17 +44,21 @@ def one_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return docs.join(best.select(F.col("best.row").alias("__kept")), F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
 
 
-def commonest(df: DataFrame, column: str, most: int) -> DataFrame:
+def commonest(df: DataFrame, column: str, most: int, page: int = 10_000) -> DataFrame:
     """The rows with the largest values of a whole-number column, at most ``most`` of them; rows
     with equal values are in or out together.
 
-    The bound comes from the number of rows for each value, so nothing is sorted and no task or
-    driver holds more than the result."""
-    sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(column)).toLocalIterator()
-    least, taken = None, 0
-    for row in sizes:
-        taken += row["rows"]
-        if taken > most:
-            break
-        least = row[column]
+    The bound comes from the number of rows for each value, taken from the largest on in pages of
+    ``page`` values, a job each; no task or driver holds more than a page or the result."""
+    sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    least, taken, more = None, 0, True
+    while more:
+        rows = (sizes if least is None else sizes.where(F.col(column) < least)).orderBy(F.desc(column)).limit(page).collect()
+        more = len(rows) == page
+        for row in rows:
+            taken += row["rows"]
+            if taken > most:
+                more = False
+                break
+            least = row[column]
     return df.where(F.col(column) >= least) if least is not None else df.limit(0)

@@ -33,11 +33,13 @@ repeated rows are equal sets; other columns are ignored here and kept by ``dedup
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,12 +182,12 @@ def _table(frequencies: DataFrame) -> np.ndarray:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = np.zeros(1 << bits, np.uint8)
         np.maximum.at(part, pdf["slot"].to_numpy() & ((1 << bits) - 1), (4 * np.log2(pdf["n"].to_numpy())).astype(np.uint8))
-        return pd.DataFrame({"part": [int(pdf["slot"].iloc[0]) >> bits], "bytes": [part.tobytes()]})
+        return pd.DataFrame({"part": [int(pdf["slot"].iloc[0]) >> bits], "bytes": [zlib.compress(part.tobytes(), 1)]})
 
     out = np.zeros((SLOTS >> bits, 1 << bits), np.uint8)
     parts = counted.withColumn("part", F.shiftright("slot", bits)).groupBy("part").applyInPandas(run, "part int, bytes binary")
-    for row in parts.collect():  # SLOTS bytes in all
-        out[row["part"]] = np.frombuffer(row["bytes"], np.uint8)
+    for row in parts.collect():  # SLOTS bytes in all before they are packed
+        out[row["part"]] = np.frombuffer(zlib.decompress(row["bytes"]), np.uint8)
     return out.ravel()
 
 
@@ -207,11 +209,10 @@ def in_order(s: np.ndarray, table: np.ndarray, bins: int) -> tuple[np.ndarray, n
     return s[order], _SETS[level[order]]
 
 
-def _postings(docs: DataFrame, table: np.ndarray, bins: int) -> DataFrame:
+def _postings(docs: DataFrame, table: Broadcast, bins: int) -> DataFrame:
     """The prefix shingles of all distinct sets, packed into a block for each bin and task. Hot
     shingles are dealt by document over further bins, so none of them gathers in one."""
     schema = pa.schema([("bin", pa.int64()), *((c, pa.binary()) for c in ("token", "doc", "n", "asks", "rest"))])
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # SLOTS bytes
     kind = np.min_scalar_type(2 * bins)  # numpy sorts small numbers by their digits
 
     def flushed(parts: list[tuple]) -> pa.RecordBatch:
@@ -233,7 +234,7 @@ def _postings(docs: DataFrame, table: np.ndarray, bins: int) -> DataFrame:
                 if not len(s) or signature in done:
                     continue
                 done.add(signature)
-                ordered, est = in_order(s, shared.value, bins)
+                ordered, est = in_order(s, table.value, bins)
                 length, asks = chosen_prefix(len(s), est)
                 parts.append((ordered[:length], est[:length] >= HOT, signature, len(s), asks))
                 held += length
@@ -406,10 +407,11 @@ def linked_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     of_docs = seen.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "s1", "s2")
     classes = of_docs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     classes = stored(classes.withColumnRenamed("s1", "signature"), "classes")
-    table = _table(stored(_frequencies(seen.where("kind = 1")), "frequencies"))
+    table = spark.sparkContext.broadcast(_table(stored(_frequencies(seen.where("kind = 1")), "frequencies")))  # SLOTS bytes
     removed(spark, f"{path}/kind=1")  # the shingles of all texts, counted now; of_docs reads only kind 0
 
     found = stored(_candidates(_postings(docs, table, bins), bins), "candidates", "kind")
+    table.destroy()  # neither the driver nor the executors hold it any longer
     pairs = found.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("p").alias("shared"), F.min("q").alias("asked"), F.max("r").alias("reaches"))
     long_rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("p").alias("n"), F.col("q").alias("rest"))
     weights = stored(long_rows.groupBy("doc").agg(F.count(F.lit(1)).alias("weight")), "weights")

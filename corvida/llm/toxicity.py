@@ -140,8 +140,7 @@ def _fit(term: np.ndarray, first: np.ndarray, label: np.ndarray, n_terms: int, s
             z = params[0][0] + np.bincount(row, params[1][t], len(at)) + ((total**2).sum(axis=1) - squares) / 2
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[at]) / len(at)
             e = error[row]
-            pull = e[:, None] * (total[row] - v)
-            grads = [np.array([error.sum()]), np.bincount(t, e, n_terms) + _DECAY * params[1], np.stack([np.bincount(t, pull[:, f], n_terms) for f in range(FACTORS)], axis=1) + _PAIR_DECAY * params[2]]
+            grads = [np.array([error.sum()]), np.bincount(t, e, n_terms) + _DECAY * params[1], np.stack([np.bincount(t, e * (total[row, f] - v[:, f]), n_terms) for f in range(FACTORS)], axis=1) + _PAIR_DECAY * params[2]]
             step += 1
             for p, g, (m, s) in list(zip(params, grads, moments, strict=True))[: 2 if epoch < _LINEAR else 3]:
                 m += 0.1 * (g - m)
@@ -218,6 +217,7 @@ def _paired(parts: list[np.ndarray], label: np.ndarray, clean: np.ndarray, toxic
 
         dealt = spark.createDataFrame(blocks, "i int, j int").repartition(len(blocks), "i", "j")
         found = np.array([r["term"] for r in dealt.mapInPandas(run, "term long").distinct().collect()], np.int64)
+        shared.destroy()
     else:
         found = np.concatenate([np.empty(0, np.int64), *(pairs.beyond(i, j) for i, j in blocks)])
     out = np.zeros(n_terms, bool)

@@ -5,6 +5,7 @@ from pathlib import Path
 from urllib.parse import urlparse
 
 from corvida.llm import decontamination, exact_dedup, ngram_join, packing, queries, toxicity
+from corvida.llm.common import commonest
 from corvida.session import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,6 +43,37 @@ def test_counted_shingles_leave_the_disk(spark):
     assert found.count() == docs.count()
 
 
+def test_the_table_of_frequencies_leaves_the_driver(spark):
+    """Once candidates are found, its broadcast is gone: the driver goes on with many jobs."""
+    held = lambda: {p for p in Path(spark.sparkContext._temp_dir).rglob("*") if p.is_file() and p.stat().st_size >= ngram_join.SLOTS}
+    before = held()
+    ngram_join.linked_components(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert held() == before
+
+
+def test_commonest_takes_a_job_a_page(spark):
+    """As many jobs as pages, however many partitions there are; pages change no row."""
+    counts = [n for n in range(1, 30) for _ in range(n % 4)]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "i long, n long")
+    for most in (0, 1, 2, 7, 20, 1_000):
+        least = min((v for v in set(counts) if sum(n >= v for n in counts) <= most), default=99)
+        want = {i for i, n in enumerate(counts) if n >= least}
+        for page in (1, 3, 10_000):
+            assert {r["i"] for r in commonest(rows, "n", most, page).collect()} == want
+    context, names = spark.sparkContext, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    was = [spark.conf.get(x) for x in names]
+    try:
+        for x, v in zip(names, ("60", "false"), strict=True):
+            spark.conf.set(x, v)
+        context.setJobGroup("commonest", "one page")
+        commonest(rows, "n", 20)
+        assert len(context.statusTracker().getJobIdsForGroup("commonest")) <= 4
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for x, v in zip(names, was, strict=True):
+            spark.conf.set(x, v)
+
+
 def test_same_rows_as_sql(spark):
     sys.path.insert(0, "tests")
     from comparing import of_duckdb, of_spark
