@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.session import stored
+from corvida.session import small_batches, stored  # noqa: F401 (the operators take both from here)
 
 ROW = "__row"
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Inside, what is written passes Python workers in Arrow batches of at most so many rows: for
-    long texts, of which Spark's own number takes some 100 MB on either side of each task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme of the file system that Spark takes it from, so that no worker falls back to its own disk."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

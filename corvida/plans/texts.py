@@ -95,42 +95,38 @@ _GRAMS = r"""g AS (SELECT doc_id, i - 1 AS pos, tok[i:i + 6] AS g FROM (SELECT d
  seen AS (SELECT g, count(*) AS n FROM g GROUP BY 1)"""
 
 
-def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(B.ngram_rows(_docs(spark, sf_dir)), "grams")
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return B.matched(docs, B.frequent(docs))
 
 
 @query(f"WITH {_GRAMS} SELECT array_to_string(g, ' ') AS gram, n::DOUBLE AS weight FROM seen WHERE n >= 6")
 def boilerplate_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.weights(B.ngram_rows(_docs(spark, sf_dir)), use_gaps=False)
+    found = B.frequent(_docs(spark, sf_dir), use_gaps=False)
     return found.select(F.array_join("gram", " ").alias("gram"), "weight")
 
 
 @query(f"""WITH {_GRAMS} SELECT array_to_string(list_transform(g, lambda w, i: CASE WHEN i = k THEN '___' ELSE w END), ' ') AS gram, 0.5 * sum(n) AS weight, count(*) AS fillers
     FROM seen CROSS JOIN range(2, 7) r(k) GROUP BY 1 HAVING 0.5 * sum(n) >= 6""")
 def boilerplate_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.weights(B.ngram_rows(_docs(spark, sf_dir))).where("fillers > 0")
+    found = B.frequent(_docs(spark, sf_dir)).where("fillers > 0")
     return found.select(F.array_join("gram", " ").alias("gram"), "weight", "fillers")
 
 
 @query()
 def boilerplate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _grams(spark, sf_dir)
-    return B.spans(grams, stored(B.weights(grams), "boilerplate"))
+    return _matched(spark, sf_dir).select("doc_id", F.inline("spans"))
 
 
 @query()
 def boilerplate_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _grams(spark, sf_dir)
-    found = B.spans(grams, stored(B.weights(grams), "boilerplate"))
-    return B.removed(_docs(spark, sf_dir), found).select("doc_id", "text", F.size("removed").alias("n_removed"))
+    return B.spliced(_matched(spark, sf_dir)).select("doc_id", "text", F.size("removed").alias("n_removed"))
 
 
 @query()
 def boilerplate_highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with the spans that would be removed shown in red."""
-    grams = _grams(spark, sf_dir)
-    found = B.spans(grams, stored(B.weights(grams), "boilerplate"))
-    return B.removed(_docs(spark, sf_dir), found).select("doc_id", T.highlighted(F.col("original_text"), F.col("removed")).alias("text"))
+    return B.spliced(_matched(spark, sf_dir)).select("doc_id", T.highlighted(F.col("original_text"), F.col("removed")).alias("text"))
 
 
 @query("""SELECT doc_id, tokens, before, before < 1000000 AS counted FROM (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM
