@@ -68,8 +68,8 @@ def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BAGS} SELECT a, b, round(cosine, 4) AS cosine FROM pairs")
 def dedupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different bags of words above the threshold."""
-    bagged = stored(similarity.bags(_docs(spark, sf_dir)), "bags")
-    return similarity.similar_pairs(similarity.unit_vectors(bagged)).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    docs = _docs(spark, sf_dir)
+    return similarity.similar_pairs(docs, stored(similarity.classes(docs), "classes")).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 @query(f"{_GROUPS} SELECT doc_id, group_id FROM grp")

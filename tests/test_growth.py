@@ -62,3 +62,63 @@ def test_boilerplate_leaves_no_row_for_each_run(spark, name):
     before = scratch_bytes(spark)
     catalogue.QUERIES[name](spark, SMALL).count()
     assert scratch_bytes(spark) - before < 2 * os.path.getsize(f"{SMALL}/documents.parquet")
+
+
+# -- near duplicates --------------------------------------------------------------------------
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    """Long documents with many shared words, groups of near copies cut in blocks, copies, short ones, and batches that end inside a term."""
+    import math
+    import random
+    from collections import Counter
+
+    from corvida.operators import similarity as S
+
+    rng = random.Random(5)
+    common, rare = [f"w{i}" for i in range(40)], [f"r{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(common) for _ in range(60)] + rng.sample(rare, 60)
+        for k in range(10):
+            texts.append(" ".join(base[: len(base) - k] + rng.sample(rare, k // 2)))
+    texts += texts[:5] + ["aa", "aa bb", "bb aa aa", "aa bb cc", "", None, "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "WORDS", 500)
+    got = {(r["a"], r["b"]): r["cosine"] for r in S.similar_pairs(docs, S.classes(docs).cache()).collect()}
+    bags = {}
+    for i, t in enumerate(texts):
+        words = [w for w in (t or "").split() if len(w) > 1]
+        if words:
+            bags.setdefault(tuple(sorted(words)), []).append(i)
+    n, df = sum(map(len, bags.values())), Counter()
+    for bag, ids in bags.items():
+        df.update(dict.fromkeys(set(bag), len(ids)) | {})
+    vectors = {}
+    for bag, ids in bags.items():
+        x = {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in Counter(bag).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        vectors[min(ids)] = {t: v / norm for t, v in x.items()}
+    want = {}
+    for a, x in vectors.items():
+        for b, y in vectors.items():
+            if a < b and (c := sum(v * y.get(t, 0) for t, v in x.items())) > S.THRESHOLD:
+                want[a, b] = c
+    assert len(want) > 20 and got.keys() == want.keys(), (len(want), len(got))
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("name", ["dedupe_groups", "dedupe_keep_first", "dedupe_keep_longest", "dedupe_keep_shortest", "dedupe_pairs"])
+def test_dedupe_leaves_no_row_for_each_term(spark, name):
+    before = scratch_bytes(spark)
+    catalogue.QUERIES[name](spark, SMALL).count()
+    assert scratch_bytes(spark) - before < os.path.getsize(f"{SMALL}/documents.parquet")
+
+
+def test_no_pairs_in_nothing(spark):
+    from corvida.operators import similarity as S
+
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert S.duplicate_groups(docs).count() == 0
+    assert S.similar_pairs(docs, S.classes(docs)).count() == 0
