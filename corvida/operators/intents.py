@@ -67,11 +67,26 @@ def without_duplicates(scored: DataFrame, threshold: float = 0.85) -> DataFrame:
 def document_scores(doc_terms: DataFrame, terms: DataFrame, intents: DataFrame) -> DataFrame:
     """Of (doc_id, term), (term, vector) and (intent, part, vector): doc_id, intent, the mean over
     the intent's parts of the largest cubed similarity of any of the document's terms."""
+    order = [tuple(r) for r in intents.select("intent", "part").distinct().orderBy("intent", "part").collect()]  # as many as the definitions
     cube = F.pow(V.dot(F.col("vector"), F.col("part_vector")), F.lit(3.0))
     parts = intents.select("intent", "part", F.col("vector").alias("part_vector"))
     table = terms.crossJoin(F.broadcast(parts)).select("term", "intent", "part", cube.alias("s"))  # terms are few: one row for each concept
-    best = doc_terms.distinct().join(table, "term").groupBy("doc_id", "intent", "part").agg(F.max("s").alias("s"))
-    return best.groupBy("doc_id", "intent").agg(F.avg("s").alias("score"))
+    at = lambda i, p: F.col("intent").eqNullSafe(F.lit(i)) & F.col("part").eqNullSafe(F.lit(p))
+    largest = [F.max(f"s{k}").alias(f"s{k}") for k in range(len(order))]
+    # terms of a document are brought together once; what follows stays where they are
+    rows = doc_terms.groupBy("doc_id").agg(F.collect_set("term").alias("terms")).select("doc_id", F.explode("terms").alias("term"))
+    kind = intents.schema["intent"].dataType
+    if not order:
+        return rows.select("doc_id", F.lit(None).cast(kind).alias("intent"), F.lit(None).cast("double").alias("score")).limit(0)
+    wide = table.groupBy("term").agg(*(F.max(F.when(at(*x), F.col("s"))).alias(f"s{k}") for k, x in enumerate(order)))
+    best = rows.join(F.broadcast(wide), "term").groupBy("doc_id").agg(*largest)
+    means = []
+    for intent in dict.fromkeys(i for i, _ in order):
+        own = [F.col(f"s{k}") for k, (i, _) in enumerate(order) if i == intent]
+        total = sum((F.coalesce(c, F.lit(0.0)) for c in own), F.lit(0.0))
+        n = sum((c.isNotNull().cast("int") for c in own), F.lit(0))
+        means.append(F.struct(F.lit(intent).cast(kind).alias("intent"), F.try_divide(total, n).alias("score"), (n > 0).alias("met")))
+    return best.select("doc_id", F.inline(F.array(*means))).where("met").drop("met")
 
 
 def kept(intents: DataFrame, threshold: float = PARTS_ALIKE) -> DataFrame:

@@ -181,6 +181,11 @@ def _terms(r: Reports) -> DataFrame:
     return concept_vectors(r).join(volume, "term")
 
 
+def _exact(r: Reports) -> DataFrame:
+    """doc_id, term: the concepts that documents have an exact term of, without a row for each related one; may repeat."""
+    return r.terms.join(r.concepts.where("exact = 1"), "term").select("doc_id", F.col("concept").alias("term"))
+
+
 _TERMS = f"""v AS (SELECT concept AS term, count(DISTINCT CASE WHEN exact = 1 THEN doc_id END) AS m FROM found GROUP BY 1),
  names AS (SELECT p_name AS term, row_number() OVER (ORDER BY p_name) - 1 AS vec_id FROM (SELECT DISTINCT p_name FROM part)),
  terms AS (SELECT term, embedding AS vector, m, round(m * ln(n0 / df0), 6) AS relevance FROM names JOIN embeddings USING (vec_id) JOIN v USING (term) JOIN df0 ON concept = term CROSS JOIN n),
@@ -213,8 +218,7 @@ def intent_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, intent, round(avg(s), 5) + 0.0 AS score FROM (SELECT doc_id, intent, part, max(s) AS s FROM found JOIN s ON term = concept WHERE exact = 1 GROUP BY ALL) GROUP BY ALL""")
 def intent_doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reports(ready(spark), sf_dir)
-    doc_terms = r.found.where("exact = 1").select("doc_id", F.col("concept").alias("term"))
-    return I.document_scores(doc_terms, _terms(r).select("term", "vector"), _intents(r)).select("doc_id", "intent", (F.round("score", 5) + 0.0).alias("score"))  # no minus zero
+    return I.document_scores(_exact(r), _terms(r).select("term", "vector"), _intents(r)).select("doc_id", "intent", (F.round("score", 5) + 0.0).alias("score"))  # no minus zero
 
 
 _PARTS = "(SELECT label, vec_id % 2 AS part, embedding AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) = 1)"
@@ -240,8 +244,7 @@ def intents_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an intent above 0.5: the best one, its score, the metadata as ``name: value`` and the scores of all intents."""
     r = Reports(ready(spark), sf_dir)
-    terms = r.found.where("exact = 1").select("doc_id", F.col("concept").alias("term"))
-    scored = I.document_scores(terms, _terms(r).select("term", "vector"), I.kept(_intents(r))).withColumn("score", F.round("score", 5) + 0.0)
+    scored = I.document_scores(_exact(r), _terms(r).select("term", "vector"), I.kept(_intents(r))).withColumn("score", F.round("score", 5) + 0.0)
     value = [F.concat(F.lit(f"{f}: "), F.col(f)) for f in STRING_FIELDS] + [F.concat(F.lit("total_price: "), F.col("total_price").cast("long").cast("string"))]
     metadata = r.docs.select("doc_id", F.filter(F.array(*value), lambda x: x.isNotNull()).alias("metadata"))
     return I.labelled(scored, list(range(10)), prefix="intent_").join(metadata, "doc_id")
