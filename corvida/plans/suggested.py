@@ -12,7 +12,7 @@ from corvida.operators import concepts as C
 from corvida.plans import oracle_reports as O
 from corvida.plans.reports import SLICE, SUBSET, Reports
 from corvida.plans.texts import concept_vectors, query
-from corvida.session import ready
+from corvida.session import ready, stored
 
 _SUBSET, _SLICE = O._SUBSET, O._SLICE
 _FIELDS = "(SELECT DISTINCT doc_id, field FROM subsets) f"
@@ -53,7 +53,7 @@ def _clusters_sql(volume: str, keys: str) -> str:
 
 def _clustered(r: Reports, scope: DataFrame | None, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The clusters of each key's concepts, heaviest by relevance there, and the concepts' volume."""
-    volume = C.volume(r.found, scope, r.n_docs, keys)
+    volume = stored(C.volume(r.found, scope, r.n_docs, keys), "volume")  # a row for each key and concept; met again by the callers
     rows = volume.withColumn("weight", F.col("relevance")).join(concept_vectors(r).withColumnRenamed("term", "concept"), "concept")
     return clusters.suggested(rows, keys), volume
 

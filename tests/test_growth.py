@@ -168,3 +168,19 @@ def test_products_take_all_partitions_at_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+# -- concepts ---------------------------------------------------------------------------------
+
+
+def test_intents_bring_a_document_together_once(spark):
+    """Of the rows by document only one shuffle, and none for related terms."""
+    plan = catalogue.QUERIES["intent_doc_scores"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id#") == 1
+
+
+@pytest.mark.parametrize("name", ["volume_over_time_clusters", "volume_subsets_all_clusters", "volume_subsets_clusters"])
+def test_clusters_count_volume_once(spark, name):
+    """What comes after the clusters reads the counts, not the lines again."""
+    files = catalogue.QUERIES[name](spark, SMALL).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
