@@ -464,10 +464,8 @@ def subset_search(r: Reports) -> DataFrame:
 @query(f"""SELECT query_id, vec_id, rank, score FROM (SELECT q.vec_id AS query_id, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 5) AS score,
     (row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.embedding', b='e.embedding')}, 5) DESC, e.vec_id))::INT AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= 10""", base=False)
 def related_vectors_topk(r: Reports) -> DataFrame:
-    """The ten nearest of each query vector; queries are the ids divisible by 100, taken in blocks."""
+    """The ten nearest of each query vector; queries are the ids divisible by 100."""
     queries = _vectors(r).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
-    blocks = queries.groupBy(F.floor(F.col("query_id") / 100_000).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    rows = _vectors(r).crossJoin(blocks).select("vec_id", "vector", F.explode("queries").alias("x"))
-    rows = rows.where("x.query_id <> vec_id").select("x.query_id", "vec_id", F.round(vectors.dot(F.col("x.q"), F.col("vector")), 5).alias("score"))
+    rows = vectors.near_queries(_vectors(r), queries, 10).select("query_id", "vec_id", F.round(vectors.dot(F.col("q"), F.col("vector")), 5).alias("score"))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rn).where("rank <= 10").select("query_id", "vec_id", "rank", "score")

@@ -184,3 +184,25 @@ def test_clusters_count_volume_once(spark, name):
     """What comes after the clusters reads the counts, not the lines again."""
     files = catalogue.QUERIES[name](spark, SMALL).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+# -- vectors ----------------------------------------------------------------------------------
+
+
+def test_near_queries_hold_the_nearest(spark):
+    """Equal vectors stay for the tie by id; few pairs besides the nearest go on; a missing vector is near nothing."""
+    import numpy as np
+
+    from corvida.functions import vectors as V
+
+    x = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    x[50:60] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, vector array<float>").repartition(3)
+    queries = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
+    got = V.near_queries(rows, queries, 10, block=2).select("query_id", "vec_id").collect()
+    assert len(got) == len(set(got)) < 5 * 3 * 14
+    for q in range(5):
+        score = np.round(x.astype(float) @ x[q].astype(float), 5)
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:10]
+        assert {(q, i) for i in best} <= {tuple(r) for r in got}
